@@ -120,14 +120,13 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabulary
     held = held.withColumn("base", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     total = held.groupBy("class").agg(F.sum("n").alias("total"))
     bins = total.withColumn("bins", F.expr("total div class"))  # a row per class
-    first = bins.withColumn("first", F.coalesce(F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    held = held.join(F.broadcast(first), "class").select("class", "worker", F.coalesce("base", F.lit(0)).alias("base"), "bins", "first")
+    first = bins.withColumn("first", F.coalesce(F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("bins").over(Window.partitionBy()))
+    held = held.join(F.broadcast(first), "class").select("class", "worker", F.coalesce("base", F.lit(0)).alias("base"), "bins", "first", "all")
     ranked = pieces.join(held, ["class", "worker"]).withColumn("rank", F.col("base") + F.col("nth"))
     filled = F.col("rank") < F.col("bins") * F.col("class")
     full = ranked.where(filled).withColumn("sequence_id", F.col("first") + F.expr("rank div class")).withColumn("slot", F.expr("rank % class"))
     # Fewer than k pieces of each class k: at most sum(k - 1) rows, whatever the input.
     left = ranked.where(~filled).select("class", "rank", "length")
-    n_bins = F.broadcast(first.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("all")))
     kind = pa.schema([("class", pa.int32()), ("rank", pa.int64()), ("bin", pa.int64())])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +137,7 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", vocabulary
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((r[0], r[1], where[k]) for k, r in enumerate(rows))), kind)], schema=kind)
 
     fitted = left.coalesce(1).mapInArrow(fit, "class int, rank long, bin long")
-    rest = ranked.where(~filled).join(fitted, ["class", "rank"]).crossJoin(n_bins).withColumn("sequence_id", F.col("all") + F.col("bin")).withColumn("slot", F.col("class") * F.lit(1 << 40) + F.col("rank"))
+    rest = ranked.where(~filled).join(fitted, ["class", "rank"]).withColumn("sequence_id", F.col("all") + F.col("bin")).withColumn("slot", F.col("class") * F.lit(1 << 40) + F.col("rank"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
     placed = full.select(*names, "slot").unionByName(rest.select(*names, "slot"))
     within = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
