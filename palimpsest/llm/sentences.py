@@ -67,7 +67,8 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     found = written(rows.mapInArrow(emit, "run binary, doc_id long, th long, at int"))
     place = F.struct("doc_id", "th", "at")
-    first = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
+    # Written, so that a run which very many documents share is a side that the join can split.
+    first = written(found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT first <=> last").select("run", "first"))
     again = found.join(first, "run").where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(F.collect_list("at").alias("gone"))
     packed = _packed(rows)
     both = packed.join(again, same_key(packed, again), "left").select(packed["doc_id"], "n_bytes", "packed", "gone")
