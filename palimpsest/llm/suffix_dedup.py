@@ -191,9 +191,11 @@ def repeated_spans(docs: DataFrame, size: int, gram: int = GRAM, hot: int = HOT_
         raise ValueError(f"size must be at least {gram + 8} bytes")
     spark = docs.sparkSession
     anchors = written(docs.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size, gram), _ANCHORS))
-    common = anchors.groupBy("gram").agg(F.count("*").alias("c"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("c > 1").select("gram", (F.col("r0") != F.col("r1")).alias("mixed"))
+    # Written, so that an anchor which very many documents share is a side that the join can split.
+    common = written(anchors.groupBy("gram").agg(F.count("*").alias("c"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("c > 1").select("gram", (F.col("r0") != F.col("r1")).alias("mixed")))
+    release(spark)
     again = written(anchors.join(common, "gram"))
-    drop(spark, anchors)
+    drop(spark, anchors, common)
     release(spark)
     mixed = again.where("mixed")
     runs = written(mixed.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi", "lead")).alias("of")))
