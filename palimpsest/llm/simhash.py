@@ -266,9 +266,11 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wid
     """The rows of ``docs``, one of each component: that of the least id, null ids
     last, then of the least hash of the text; of rows that repeat both, one."""
     found = grouped(docs, text, id_col, width, radius, bucket)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    keep = written(found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th")))
+    rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")
+    keep = written(rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")))
     key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.withColumn("__key", key)
-    kept = rows.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    kept = docs.withColumn("__key", key).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
+    # Only keys that rows repeat are sorted out; all others go by without another shuffle.
+    one, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates([id_col, "__key"])
+    return one.unionByName(more).select(*docs.columns)
