@@ -117,7 +117,9 @@ def estimates(good: DataFrame) -> DataFrame:
     now = written(start.select("grp", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(d)), *((F.lit(1.0) / spread[i] if i == j else F.lit(0.0)).alias(f"v{i}_{j}") for i in range(d) for j in range(i + 1))))
     for _ in range(STEPS):
         apart = good.join(now, "grp")
-        near = apart.join(_quantile(apart, distance(), KEEP, "edge"), "grp").where(_bin(distance()) <= F.col("edge"))
+        # A row a group; written, so that Spark knows its size and rows of large groups stay where they are.
+        edge = written(_quantile(apart, distance(), KEEP, "edge"))
+        near = apart.join(edge, "grp").where(_bin(distance()) <= F.col("edge"))
         sums = near.groupBy("grp").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)))
         new = written(_factors(written(sums)))
         drop(spark, now)
@@ -140,6 +142,6 @@ def verdicts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang:
     groups = written(_grouped(rows))
     good = written(rows.where("NOT base_failed").join(groups, ["lang", "source"]).select("grp", *NAMES))
     found = written(estimates(good))
-    judged = rows.join(groups.join(found, "grp"), ["lang", "source"], "left")
+    judged = rows.join(written(groups.join(found, "grp")), ["lang", "source"], "left")
     out = F.when(~F.col("base_failed"), distance() / F.greatest(F.col("scale"), F.lit(1.0)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(out <= cutoff, F.lit(True))).alias("kept"), out.alias("outlyingness"))
