@@ -62,6 +62,9 @@ class Config:
         self.by_identity = False
         self.length: Column | None = None
         self._derived: dict[str, Column] = {}
+        self._converted: dict[str, Column] = {}
+        self._encode: Callable[[Column], Column] = lambda v: F.to_json(v, {"ignoreNullFields": "false"}).cast("binary")
+        self._decode: Callable[[Column, StructType], Column] = lambda b, kind: F.from_json(b.cast("string"), kind)
         self._flush_set = False
 
     def _persisted(self, what: str) -> None:
@@ -142,6 +145,16 @@ class Config:
         self._derived[name] = F.expr(expr) if isinstance(expr, str) else expr
         return self
 
+    def convert(self, name: str, expr: Column | str) -> Config:
+        """What is stored in a column when rows are inserted, in terms of the values given."""
+        self._converted[name] = F.expr(expr) if isinstance(expr, str) else expr
+        return self
+
+    def serialize_with(self, encode: Callable[[Column], Column], decode: Callable[[Column, StructType], Column]) -> Config:
+        """The form of encrypted rows, and of their size: a struct to binary, and back.  JSON by default."""
+        self._encode, self._decode = encode, decode
+        return self
+
     def sized_by(self, length: Column | str) -> Config:
         """The serialized size of a row, for statistics; by default that of its JSON form."""
         self.length = F.expr(length) if isinstance(length, str) else length
@@ -232,8 +245,8 @@ def _readable(rows: DataFrame, values: StructType, config: Config) -> DataFrame:
     """Decrypted rows; encrypted ones that the key (or its absence) can't open are left out."""
     if config.key is None:
         return rows.where("NOT coalesce(_encrypted, false)")
-    text = crypto.decrypt(F.col("_payload"), config.key, config.cipher).cast("string")
-    opened = rows.withColumn("_open", F.when(F.col("_encrypted"), F.from_json(text, values)))
+    text = crypto.decrypt(F.col("_payload"), config.key, config.cipher)
+    opened = rows.withColumn("_open", F.when(F.col("_encrypted"), config._decode(text, values)))
     return opened.select(*(F.when(F.col("_encrypted"), F.col("_open")[f.name]).otherwise(F.col(f.name)).alias(f.name) if f.name in values.names else F.col(f.name) for f in rows.schema.fields))
 
 
@@ -440,8 +453,10 @@ class Dataset:
     def _stored(self, df: DataFrame, op: str, at: Column) -> DataFrame:
         """Log rows of ``_id, _seq, _encrypted`` and values."""
         schema = self._log.value_schema
+        if op == "I" and self.config._converted:
+            df = df.withColumns(self.config._converted)
         values = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
-        payload = F.to_json(values, {"ignoreNullFields": "false"}).cast("binary")
+        payload = self.config._encode(values)
         length = self.config.length if self.config.length is not None else F.octet_length(payload)
         out = df.withColumn("_op", F.lit(op)).withColumn("_created_at", at.cast("timestamp"))
         if self.config.key is None:
@@ -539,11 +554,18 @@ class Dataset:
         self._copy(rows, f"{self.config.snapshot_path}/{self._catalog.snapshot_name(self.config.name, at)}")
         return at
 
+    def _room_for(self, out: str) -> None:
+        """Before rows are copied: the store must have room for all of the log."""
+        need = self._files.size(self._log.directory())
+        if self._files.room(out) < need:
+            raise DatasetError(f"{out}: less than {need} bytes are free")
+
     def _copy(self, rows: DataFrame, out: str) -> int:
         """``rows`` as the only generation of a new log; ids go on after the last one."""
         store = LogStore(self.spark, out, self._log.value_schema)
         if store.meta.batches:
             raise DatasetError(f"{out} holds a dataset")
+        self._room_for(out)
         store.meta = replace(Meta(), schema=self._log.meta.schema, last_id=self._log.meta.last_id, last_seq=self._log.meta.last_seq, generation=-1)
         store.rewrite(rows.withColumn("_op", F.lit("I")), 0)
         n = store.read().count()
@@ -554,6 +576,7 @@ class Dataset:
         self._guard(write=True)
         if self._log.meta.clean:
             return 0, 0
+        self._room_for(self.config.archive_path or self._log.path)
         found = plan.versions(self._log.read())
         by = {r["_state"]: r["count"] for r in found.groupBy("_state").count().collect()}
         if self.config.archive_path:

@@ -28,6 +28,15 @@ class Files:
         fs, path = self._at(uri)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def size(self, uri: str) -> int:
+        fs, path = self._at(uri)
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
+    def room(self, uri: str) -> int:
+        """Bytes that the store of ``uri`` says are free."""
+        fs, path = self._at(uri)
+        return fs.getStatus().getRemaining()
+
     def create_new(self, uri: str, text: str) -> bool:
         """False if the file exists already."""
         fs, path = self._at(uri)

@@ -252,3 +252,15 @@ def test_streams(spark, tmp_path):
         q = changes(ds).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table("seen").count() == 30
+
+
+def test_conversion_and_codec(spark, tmp_path):
+    c = Catalog(spark)
+    config = c.configure("k", f"file://{tmp_path}/k", "name string, length long").convert("name", "upper(name)").encrypt_with_key(b"k" * 32)
+    kind = "struct<name:string,length:bigint>"
+    config.serialize_with(lambda v: F.to_csv(v).cast("binary"), lambda b, schema: F.from_csv(b.cast("string"), kind[7:-1].replace(":", " "))).register()
+    with c.open("k") as ds:
+        ds.insert(spark.createDataFrame([("a", 1)], "name string, length long"), encrypt=True)
+        ds.insert({"name": "b", "length": 2})
+        assert [(r["name"], r["length"]) for r in ds.query().to_df().collect()] == [("A", 1), ("B", 2)]
+        assert ds.statistics("MinFreshSize", "MaxFreshSize")["MaxFreshSize"] == 3 + 28
