@@ -7,47 +7,67 @@ piece goes through the library once per worker.
 
 from __future__ import annotations
 
+import os
 import re
-from itertools import chain
 
 import numpy as np
 
 _SPACE = re.compile(r"[ \t\n\r]+")
-_CACHED = 300_000
+#: Pieces that a worker remembers (about 150 bytes each), and their length at most.
+_CACHED, _PIECE = 1_000_000, 100
+_TAIL = ".,!?;:"
 _made: dict[tuple[str, bool], "Encoder"] = {}
 
 
-class _Pieces(dict):
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self._encode(piece, add_special_tokens=False).ids)
-        if len(self) < _CACHED and len(piece) < 100:
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
-    """``by_word`` must be true only for tokenizers that drop white space."""
+    """``by_word`` must be true only for tokenizers that drop white space.
+
+    A remembered piece is the bytes of its ids, so a text is one ``join``."""
 
     def __init__(self, path: str, by_word: bool) -> None:
+        # Spark's tasks are the parallelism here.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode
-        self._pieces = _Pieces(self._encode) if by_word else None
+        self._made = Tokenizer.from_file(path)
+        self._batch = getattr(self._made, "encode_batch_fast", self._made.encode_batch)
+        self._by_word = by_word
+        self._kind = "<u2" if self._made.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self._known: dict[str, bytes] = {"": b""}
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces not known yet.  A letters-only piece and the signs after it
+        are separate to the splitter, so "word," is "word" and ",", both maybe known."""
+        known = self._known
+        if len(known) + 2 * len(missing) > _CACHED:
+            known.clear()
+            known[""] = b""
+        parts = {}
+        for p in missing:
+            stem = p.rstrip(_TAIL)
+            parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and stem.isalpha() else (p,)
+        new = list({q for x in parts.values() for q in x if q not in known})
+        ids = {q: np.array(e.ids, dtype=self._kind).tobytes() for q, e in zip(new, self._batch(new, add_special_tokens=False))} if new else {}
+        found = {p: b"".join(ids[q] if q in ids else known[q] for q in x) for p, x in parts.items()}
+        for d in (ids, found):
+            known.update((p, v) for p, v in d.items() if len(p) <= _PIECE)
+        return found
 
     def __call__(self, text: str | None, end: int) -> np.ndarray:
         """Ids of the text and the end id."""
         if not text:
             return np.array([end], dtype="<u4")
-        if self._pieces is None:
-            ids = self._encode(text, add_special_tokens=False).ids
-        else:
-            ids = list(chain.from_iterable(map(self._pieces.__getitem__, filter(None, _SPACE.split(text)))))
-        ids.append(end)
-        return np.array(ids, dtype="<u4")
+        if not self._by_word:
+            return np.array([*self._made.encode(text, add_special_tokens=False).ids, end], dtype="<u4")
+        pieces = _SPACE.split(text)
+        found = list(map(self._known.get, pieces))
+        if None in found:
+            learnt = self._learn({p for p, v in zip(pieces, found) if v is None})
+            found = [learnt[p] if v is None else v for p, v in zip(pieces, found)]
+        ids = np.frombuffer(b"".join(found), self._kind)
+        out = np.empty(len(ids) + 1, dtype="<u4")
+        out[:-1], out[-1] = ids, end
+        return out
 
 
 def encoder(path: str, by_word: bool = False) -> Encoder:
