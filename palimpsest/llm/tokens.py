@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import unicodedata
+from array import array
 
 import numpy as np
 
-_SPACE = re.compile(r"[ \t\n\r]+")
+_SPACE, _SEPARATORS = re.compile(r"[ \t\n\r]+"), re.compile("[\x1c-\x1f]")
 #: Pieces that a worker remembers (about 150 bytes each), and their length at most.
 _CACHED, _PIECE = 1_000_000, 100
-_TAIL = ".,!?;:"
+#: Signs that end a piece; not the apostrophe, which some words own.
+_TAIL = string.punctuation.replace("'", "")
 _made: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -33,7 +37,10 @@ class Encoder:
         self._batch = getattr(self._made, "encode_batch_fast", self._made.encode_batch)
         self._by_word = by_word
         self._kind = "<u2" if self._made.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self._code = "H" if self._kind == "<u2" else "I"
         self._known: dict[str, bytes] = {"": b""}
+        self._model = self._made.model
+        self._letters = {ord(c): self._made.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x250)) if c.isalpha()} if by_word else {}
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces not known yet.  A letters-only piece and the signs after it
@@ -46,8 +53,16 @@ class Encoder:
         for p in missing:
             stem = p.rstrip(_TAIL)
             parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and stem.isalpha() else (p,)
-        new = list({q for x in parts.values() for q in x if q not in known})
-        ids = {q: np.array(e.ids, dtype=self._kind).tobytes() for q, e in zip(new, self._batch(new, add_special_tokens=False))} if new else {}
+        new = {q for x in parts.values() for q in x if q not in known}
+        ids, other = {}, []
+        for q in new:
+            # Lower-case Latin letters are as the model takes them but for their byte signs.
+            if q.isalpha() and q.islower() and (q.isascii() or max(q) < "\u0250" and unicodedata.is_normalized("NFC", q)):
+                ids[q] = array(self._code, [t.id for t in self._model.tokenize(q if q.isascii() else q.translate(self._letters))]).tobytes()
+            else:
+                other.append(q)
+        for q, e in zip(other, self._batch(other, add_special_tokens=False) if other else ()):
+            ids[q] = array(self._code, e.ids).tobytes()
         found = {p: b"".join(ids[q] if q in ids else known[q] for q in x) for p, x in parts.items()}
         for d in (ids, found):
             known.update((p, v) for p, v in d.items() if len(p) <= _PIECE)
@@ -59,7 +74,11 @@ class Encoder:
             return np.array([end], dtype="<u4")
         if not self._by_word:
             return np.array([*self._made.encode(text, add_special_tokens=False).ids, end], dtype="<u4")
-        pieces = _SPACE.split(text)
+        # In ASCII lower case is one rule; special tokens are looked for before it.
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
+        # str.split also takes the signs 1C to 1F for space.
+        pieces = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
         found = list(map(self._known.get, pieces))
         if None in found:
             learnt = self._learn({p for p, v in zip(pieces, found) if v is None})
