@@ -37,13 +37,17 @@ from .common import drop, keyed, release, same_key, tune, written
 GRAM = 32
 #: Distinct runs of one anchor that a task may sort.
 HOT_RUNS = 20_000
-_ANCHORS = "doc_id long, th long, gram long, run long, lo int, hi int, lead short"
+_ANCHORS = "doc_id long, th long, gram long, run long, lo int, hi int, lead short, times int"
 _TASK_WINDOWS = 400_000
+_ODD = 0x9E3779B97F4A7C15
 
 
 def _anchor_rows(size: int, gram: int):
-    names = ["doc_id", "th", "gram", "run", "lo", "hi", "lead"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16()]
+    """A row for each distinct run of a text, with its times there.  Places of runs
+    that recur in the text need no others to be repeated: they come as spans of
+    neighbouring places, with times 0, so a periodic text is a few rows."""
+    names = ["doc_id", "th", "gram", "run", "lo", "hi", "lead", "times"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int32()]
     kind = pa.schema(list(zip(names, types)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +61,17 @@ def _anchor_rows(size: int, gram: int):
                     continue
                 g, at, lo, hi = windows.anchors(np.frombuffer(data, np.uint8), size, gram)
                 runs = np.fromiter((xxhash.xxh3_64_intdigest(data[a : b + size]) for a, b in zip(lo.tolist(), hi.tolist())), np.uint64, len(lo))
-                nulls.append(np.full(len(g), doc_id is None))
-                parts.append([np.full(len(g), doc_id or 0), np.full(len(g), th), g.view(np.int64), runs.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), (at - lo).astype(np.int16)])
+                _, first, of, times = np.unique(g ^ (runs * np.uint64(_ODD)), return_index=True, return_inverse=True, return_counts=True)
+                again = np.flatnonzero(times[of] > 1)
+                new = np.flatnonzero(np.concatenate(([True], lo[again[1:]] != hi[again[:-1]] + 1))) if len(again) else again
+                end = np.append(new[1:], len(again)) - 1 if len(again) else again
+                a, b, none = lo[again[new]], hi[again[end]], np.zeros(len(new), np.int64)
+                n = len(first) + len(new)
+                nulls.append(np.full(n, doc_id is None))
+                parts.append([
+                    np.full(n, doc_id or 0), np.full(n, th), np.concatenate((g[first].view(np.int64), none)), np.concatenate((runs[first].view(np.int64), none)),
+                    np.concatenate((lo[first], a)).astype(np.int32), np.concatenate((hi[first], b)).astype(np.int32), np.concatenate(((at - lo)[first], none)).astype(np.int16), np.concatenate((times, none)).astype(np.int32),
+                ])
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts)]
                 arrays = [pa.array(columns[0], types[0], mask=np.concatenate(nulls)), *(pa.array(c, t) for c, t in zip(columns[1:], types[1:]))]
@@ -192,13 +205,15 @@ def repeated_spans(docs: DataFrame, size: int, gram: int = GRAM, hot: int = HOT_
     spark = docs.sparkSession
     anchors = written(docs.where(F.octet_length("text") >= size).mapInArrow(_anchor_rows(size, gram), _ANCHORS))
     # Written, so that an anchor which very many documents share is a side that the join can split.
-    common = written(anchors.groupBy("gram").agg(F.count("*").alias("c"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("c > 1").select("gram", (F.col("r0") != F.col("r1")).alias("mixed")))
+    known = written(anchors.where("times = 0").select("doc_id", "th", "lo", "hi"))
+    some = anchors.where("times > 0")
+    common = written(some.groupBy("gram").agg(F.sum("times").alias("c"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("c > 1").select("gram", (F.col("r0") != F.col("r1")).alias("mixed")))
     release(spark)
-    again = written(anchors.join(common, "gram"))
+    again = written(some.join(common, "gram"))
     drop(spark, anchors, common)
     release(spark)
     mixed = again.where("mixed")
-    runs = written(mixed.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi", "lead")).alias("of")))
+    runs = written(mixed.groupBy("gram", "run").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi", "lead")).alias("of")))
     whole = again.where("NOT mixed").select("doc_id", "th", "lo", "hi").unionByName(
         mixed.join(runs.where("n > 1").select("gram", "run"), ["gram", "run"]).select("doc_id", "th", "lo", "hi")
     )
@@ -215,7 +230,7 @@ def repeated_spans(docs: DataFrame, size: int, gram: int = GRAM, hot: int = HOT_
     wide = parts.where("hot").select(columns).mapInArrow(_hot_windows(size), "gram long, lead short, digit binary, doc_id long, th long, at int, single boolean")
     equal = wide.groupBy("gram", "lead", "digit").count().where("count > 1").select("gram", "lead", "digit")
     wide = wide.where("single").join(equal, ["gram", "lead", "digit"]).select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(cold).unionByName(wide)
+    return known.unionByName(whole).unionByName(cold).unionByName(wide)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 200, gram: int = GRAM, hot: int = HOT_RUNS, carry: list[str] | None = None) -> DataFrame:
