@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import in_fold, map_rows, tune
 
 #: Training rows of one language, and of all, at most (lowest hashes of the id first).
-SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 6000
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 3200
 BITS = 12
 UNKNOWN = "und"
 

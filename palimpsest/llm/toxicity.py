@@ -25,7 +25,7 @@ from .common import in_fold, map_rows, tune
 from .quality import labelled_sample
 
 #: Labelled rows of either class to learn from, and voters, at most.
-SAMPLE_TOXIC, SAMPLE_OTHER, VOTERS = 4000, 8000, 600
+SAMPLE_TOXIC, SAMPLE_OTHER, VOTERS = 3000, 6000, 600
 #: Lengths of word beginnings that patterns look at.
 PREFIXES = (4, 5, 6)
 #: How often a label of the table is taken to be wrong.
@@ -120,7 +120,7 @@ def label_model(votes: np.ndarray, prior: float, fire: tuple[np.ndarray, np.ndar
         hi = np.clip((votes.T @ q + anchor * n1 * first[0]) / ((1 + anchor) * n1), 1e-4, 0.99)
         lo = np.clip((votes.T @ (1 - q) + anchor * n0 * first[1]) / ((1 + anchor) * n0), 1e-5, 0.5)
         if step == 1:
-            rest = votes - (np.outer(q, hi) + np.outer(1 - q, lo))
+            rest = (votes - (np.outer(q, hi) + np.outer(1 - q, lo))).astype(np.float32)
             scale = np.sqrt(np.maximum((rest**2).sum(axis=0), 1e-9))
             rho = (rest.T @ rest) / np.outer(scale, scale)
             np.fill_diagonal(rho, 0)
@@ -174,7 +174,7 @@ class Model:
 
 def signals(votes: set[int], n: int) -> np.ndarray:
     """The classifier's input: indicators, and how many voters fired."""
-    x = np.zeros(n + 2)
+    x = np.zeros(n + 2, dtype=np.float32)
     if votes:
         x[list(votes)] = 1
         x[n], x[n + 1] = 1, np.log1p(len(votes))
@@ -183,17 +183,17 @@ def signals(votes: set[int], n: int) -> np.ndarray:
 
 def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights and bias for soft labels ``q``, by Newton steps with a ridge."""
-    a = np.hstack([x, np.ones((len(x), 1))])
+    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(a.shape[1])
     pen = np.full(a.shape[1], ridge)
     pen[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - q) + pen * w
-        hess = (a * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ a + np.diag(pen)
+        p = 1 / (1 + np.exp(-np.clip(a @ w.astype(a.dtype), -30, 30)))
+        grad = a.T @ (p - q).astype(a.dtype) + pen * w
+        hess = (a * np.maximum(p * (1 - p), 1e-4).astype(a.dtype)[:, None]).T @ a + np.diag(pen)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
 
