@@ -43,12 +43,11 @@ def grams(text: str) -> np.ndarray:
 def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """A linear SVM (squared hinge, classes weighted alike) by accelerated gradient steps; y is +1 or -1."""
     n = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    a = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = v = np.zeros(a.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     rate = np.float32(1 / (1e-3 + 2 * c * 2))
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (a @ v))
-        grad = 1e-3 * v - 2 * c * (a.T @ (n * y * slack))
+        push = n * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        grad = 1e-3 * v - 2 * c * np.append(push @ x, push.sum())
         new = v - rate * grad
         v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
@@ -127,10 +126,13 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int =
     ranked = tagged.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_language)
     ids = ranked.orderBy("k", "lang").limit(rows).select("id").distinct()  # at most `rows` numbers
     sample = docs.where(F.col("lang").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    found = map_rows(sample.select("doc_id", "text", "lang"), ["doc_id", "text", "lang"], "id long, lang string, x array<float>", lambda r: (r[0], r[2], grams(r[1])) if has_letter(r[1]) else None).orderBy("id").limit(2 * rows).toPandas()
-    if not len(found):
+    found = map_rows(sample.select("doc_id", "text", "lang"), ["doc_id", "text", "lang"], "id long, lang string, x binary", lambda r: (r[0], r[2], grams(r[1]).astype(np.float16).tobytes()) if has_letter(r[1]) else None)
+    # At most `rows` ids, half precision: 8 KB each.
+    got = sorted((r["id"], r["lang"], bytes(r["x"])) for r in found.collect())
+    if not got:
         return None
-    return fit(np.stack(found["x"].to_numpy()).astype(np.float32), found["lang"].to_numpy())
+    langs = np.array([g[1] for g in got])
+    return fit(np.stack([np.frombuffer(g[2], np.float16) for g in got]).astype(np.float32), langs)
 
 
 def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
