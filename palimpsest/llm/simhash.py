@@ -265,7 +265,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs``, one of each component: that of the least id, null ids
     last, then of the least hash of the text; of rows that repeat both, one."""
-    found = grouped(docs, text, id_col, width, radius, bucket)
+    return first_of_each(docs, grouped(docs, text, id_col, width, radius, bucket), text, id_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that :func:`one_of_each` keeps; ``found`` has doc_id, th and root."""
     rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")
     keep = written(rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")))

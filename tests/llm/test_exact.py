@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import components, decontaminate, packing, queries, rules, sentences, simhash, suffix_dedup, token_files, tokens, windows
+from palimpsest.llm import components, decontaminate, near_copies, packing, queries, rules, sentences, simhash, suffix_dedup, token_files, tokens, windows
 
 from .data import documents, frame
 
@@ -60,6 +60,48 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, empty=True)).count() == 0
 
 
+def similar(rows):
+    """Ids that stay of each group of texts whose 5-word Jaccard links are 0.8 or more."""
+    split = [WORD.findall(lower(r[1] or "")) for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for r, g in zip(rows, group):
+        if r[0] is not None:
+            least[g] = min(least.get(g, r[0]), r[0])
+    return sorted(least.values()), len(set(group))
+
+
+def test_near_copies(spark):
+    """The pipeline's stage against brute force: copies just at, above and under 0.8, a chain, a large group."""
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, base, chain, many = documents(), words(49), words(400), words(300)
+    for k in (4, 5, 6):  # 45 shingles, of which k at the end change: 0.84, 0.8, 0.76
+        rows.append((100 + k, " ".join(base[: 49 - k] + words(k)), "en", "a"))
+    rows.append((100, " ".join(base), "en", "a"))
+    for k in range(8):
+        rows.append((110 + k, " ".join(chain[20 * k : 20 * k + 240]), "en", "a"))
+    for k in range(60):
+        own = list(many)
+        for _ in range(r.choice((0, 1, 4, 7))):
+            own[r.randrange(300)] = f"x{r.randrange(10**6)}"
+        rows.append((200 + k, " ".join(own), "en", "a"))
+    want, groups = similar(rows)
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, rows), "").collect()
+    assert sorted(x["doc_id"] for x in kept) == want and len(kept) == groups
+    assert 104 not in want and 105 not in want and 106 in want
+    assert corpus_pipeline.near_duplicate_stage(spark, frame(spark, empty=True), "").count() == 0
+
+
 @pytest.mark.parametrize("bucket", [512, 3])
 def test_links_are_complete(spark, bucket):
     import random
