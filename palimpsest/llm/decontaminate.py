@@ -11,6 +11,9 @@ document (position and length bounds); then the words themselves are compared.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from .common import same_key, written
 WINDOW, SHINGLE = 13, 5
 #: Windows whose table (about 150 bytes each) may be broadcast; beyond, joins shuffle.
 BROADCAST_WINDOWS = 200_000
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +88,27 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int, broadcast_win
     return found.where(inside).where(same).select("doc_id", "th", (start + shift).alias("at"), "len", "win")
 
 
+def _hits(docs: DataFrame, bench: DataFrame, window: int, shingle: int, text: str, id_col: str, item_text: str, item_id: str, broadcast_windows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keys and words of the documents, windows of the items, and where they occur."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th"), words(F.col(text)).alias("w"))
+    items = written(windows_of(bench, window, item_text, item_id))
+    return base, items, written(occurrences(base, items.select("win", "len").distinct(), shingle, broadcast_windows).distinct())
+
+
+def _spans() -> Column:
+    return F.array_sort(F.collect_set(F.struct("at", F.col("len").alias("n"))))
+
+
+def _n_covered(spans: Column) -> Column:
+    covered = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["n"] - F.greatest(a["end"], s["at"]))).alias("n"), F.greatest(a["end"], s["at"] + s["n"]).alias("end")),
+        lambda a: a["n"],
+    )
+    return covered.cast("long")
+
+
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``doc_id, th, n_words, n_hit, items`` of every row; th is a hash of the text,
     items are sorted strings.
@@ -96,17 +121,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shing
     """
     if not 0 < shingle <= window <= WINDOW:
         raise ValueError(f"need 0 < shingle <= window <= {WINDOW}")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th"), words(F.col(text)).alias("w"))
-    items = written(windows_of(bench, window, item_text, item_id))
-    hits = written(occurrences(base, items.select("win", "len").distinct(), shingle, broadcast_windows).distinct())
-    spans = F.array_sort(F.collect_set(F.struct("at", F.col("len").alias("n"))))
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["n"] - F.greatest(a["end"], s["at"]))).alias("n"), F.greatest(a["end"], s["at"] + s["n"]).alias("end")),
-        lambda a: a["n"],
-    )
-    hit = hits.groupBy("doc_id", "th").agg(covered.cast("long").alias("n_hit"))
+    base, items, hits = _hits(docs, bench, window, shingle, text, id_col, item_text, item_id, broadcast_windows)
+    hit = hits.groupBy("doc_id", "th").agg(_n_covered(_spans()).alias("n_hit"))
     named = hits.select("doc_id", "th", "win").distinct().join(items.select("item", "win"), "win").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     each = hit.join(named, same_key(hit, named)).select(hit["doc_id"], hit["th"], "n_hit", "items")
     rows = base.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
@@ -121,3 +137,32 @@ def digest(df: DataFrame) -> DataFrame:
 def contaminated() -> Column:
     """A twentieth of the words, and one at least, are hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def passages(docs: DataFrame, bench: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, th, n_words, n_hit, spans`` of each distinct row that has hits; spans are sorted (first word, words)."""
+    base, _, hits = _hits(docs, bench, WINDOW, SHINGLE, text, id_col, "text", "item_id", BROADCAST_WINDOWS)
+    found = hits.groupBy("doc_id", "th").agg(_spans().alias("spans"))
+    rows = base.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
+    return rows.join(found, same_key(rows, found)).select(rows["doc_id"], rows["th"], "n_words", _n_covered(F.col("spans")).alias("n_hit"), "spans").dropDuplicates(["doc_id", "th"])
+
+
+def without(text: Column, spans: Column) -> Column:
+    """The text without the words of the spans and what stands between them; what
+    stands before and after a passage stays."""
+
+    @F.pandas_udf("string")
+    def cut(t: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for value, each in zip(t, found):
+            at, parts, end, done = [m.span() for m in _WORD.finditer(value)], [], 0, 0
+            for s in each:
+                first, last = max(s["at"], done), s["at"] + s["n"]
+                if last > first:
+                    if s["at"] > done or not done:
+                        parts.append(value[end : at[first][0]])
+                    end, done = at[last - 1][1], last
+            out.append("".join(parts) + value[end:])
+        return pd.Series(out)
+
+    return cut(text, spans)
