@@ -160,11 +160,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Quadratic:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, y`` of at most ``rows`` labelled ids with ``learn(id)`` true, lowest hash first."""
+    """``id, text, y`` of at most ``rows`` labelled ids with ``learn(id)`` true, lowest
+    hash first; of rows that repeat an id, the text of the least hash."""
     ids = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).where(learn).orderBy(F.xxhash64("id"), "id").limit(rows)
     # at most `rows` pairs of numbers
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id")
+    return found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, learn: Column | None = None) -> Quadratic | float:

@@ -1,12 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (words) and patterns (word beginnings) that labelled
-rows mark as telling.  A generative label model, fitted by expectation
-maximisation on the votes alone from there on, estimates how often each voter
-fires in toxic and in other texts, and how voters depend on each other: the
-weight of a voter shrinks with its residual correlations, so that a word and its
-beginning don't count twice.  A linear classifier is then trained on the label
-model's posterior labels, over the same indicators and text-level signals.
+A lexicon of words and of word beginnings is read off a bounded sample of labelled
+rows; that, and which way a voter points, is all that labels are used for.  The
+lexicon is dealt in turn to voters of four kinds (words, beginnings, beginnings
+that recur, beginnings that are dense), so that each holds entries of every
+language.  A voter says "toxic" of a text with one of its entries, else "clean".
+
+A generative label model is estimated from how votes agree, without labels: with
+a hidden class, the covariance of two voters that are independent given the class
+is a product of two numbers, one each, which triplets of voters give in closed
+form; third moments give the share of the class; and what the covariances have
+beyond that are the voters' own correlations, by which their weights shrink.  A
+linear classifier is trained on the posterior labels, over the lexicon's entries.
 """
 
 from __future__ import annotations
@@ -15,21 +20,26 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, map_rows, tune
+from .common import drop, in_fold, map_rows, tune, written
 from .quality import labelled_sample
 
-#: Labelled rows of either class to learn from, and voters, at most.
-SAMPLE_TOXIC, SAMPLE_OTHER, VOTERS = 3000, 6000, 600
+#: Labelled rows to learn from (lowest hashes of the id first), and entries of the lexicon, at most.
+SAMPLE_ROWS, ENTRIES = 9000, 600
+#: Voters of each kind: words, beginnings, recurring ones, dense ones.
+VOTERS = {"": 8, "*": 4, "2": 4, "%": 4}
+#: Times (as a logarithm) that an entry is commoner in toxic texts, and the least statistic of it.
+LEAST_LIFT, LEAST_GAIN = 2.5, 3.5
+#: Residual correlations over this count as dependence.
+DEPENDENT = 0.1
 #: Lengths of word beginnings that patterns look at.
 PREFIXES = (4, 5, 6)
-#: How often a label of the table is taken to be wrong.
-ANNOTATOR_ERROR = 0.002
 _WORD = re.compile(r"[^\W\d_]+")
 _HELD = 300_000
 
@@ -87,45 +97,92 @@ def counted(sample: DataFrame) -> DataFrame:
     return rows.groupBy("sign").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def voters(counts: DataFrame, n_toxic: int, n_other: int, most: int = VOTERS) -> list[str]:
+def lexicon(counts: DataFrame, n_toxic: int, n_other: int, most: int = ENTRIES) -> list[str]:
     """The signs that speak most for toxicity, by a signed likelihood-ratio statistic."""
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
     lift = F.log((a / F.lit(n_toxic + 1.0)) / (b / F.lit(n_other + 1.0)))
     gain = F.round(F.col("toxic") * lift, 6)
-    told = counts.where((F.col("toxic") >= 2) & (lift > 1.6)).select("sign", gain.alias("gain")).where("gain > 3.5")
+    told = counts.where((F.col("toxic") >= 2) & (lift > LEAST_LIFT)).select("sign", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN)
     return [r["sign"] for r in told.orderBy(F.desc("gain"), "sign").limit(most).collect()]  # at most `most`
 
 
-def label_model(votes: np.ndarray, prior: float, fire: tuple[np.ndarray, np.ndarray], marks: np.ndarray, anchor: float = 1.0, rounds: int = 20) -> np.ndarray:
-    """Posterior labels of texts (rows of 0/1 votes).
+def kind_of(sign: str) -> str:
+    return sign[-1] if sign[-1] in "*2%" else ""
 
-    A text is toxic with chance ``prior``, and a voter fires at one rate under
-    either label; one that doesn't fire abstains, and texts without any vote have
-    a rate of their own.  Rates come from expectation maximisation, with the rates
-    ``fire`` as a prior worth ``anchor`` times the data (without it the two
-    classes drift to whatever splits the votes best, such as the language).
-    ``marks``, the annotators' labels, are one more voter, right in all but one of
-    ``1 / ANNOTATOR_ERROR`` cases: enough votes overrule a mark.
-    Voters that fire together beyond what their rates explain share their weight.
-    """
-    hi, lo = first = fire
-    weight = np.ones(votes.shape[1])
-    marked = np.where(marks > 0, 1, -1) * np.log(1 / ANNOTATOR_ERROR - 1)
-    silent, quiet = ~votes.any(axis=1), 0.05
-    for step in range(rounds):
-        logit = votes @ (np.log(hi / lo) * weight) + np.where(silent, np.log(quiet), 0) + marked + np.log(prior / (1 - prior))
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        n1, n0 = max(q.sum(), 1.0), max((1 - q).sum(), 1.0)
-        quiet = (q[silent].sum() + 0.5) / n1 / (((1 - q)[silent].sum() + 0.5) / n0)
-        hi = np.clip((votes.T @ q + anchor * n1 * first[0]) / ((1 + anchor) * n1), 1e-4, 0.99)
-        lo = np.clip((votes.T @ (1 - q) + anchor * n0 * first[1]) / ((1 + anchor) * n0), 1e-5, 0.5)
-        if step == 1:
-            rest = (votes - (np.outer(q, hi) + np.outer(1 - q, lo))).astype(np.float32)
-            scale = np.sqrt(np.maximum((rest**2).sum(axis=0), 1e-9))
-            rho = (rest.T @ rest) / np.outer(scale, scale)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-    return q
+
+def dealt(entries: list[str]) -> list[int]:
+    """The voter of each entry: those of a kind get them in turn."""
+    seen: Counter = Counter()
+    places = []
+    for e in entries:
+        k = kind_of(e)
+        places.append((k, seen[k] % VOTERS[k]))
+        seen[k] += 1
+    number = {place: n for n, place in enumerate(sorted(set(places)))}
+    return [number[place] for place in places]
+
+
+@dataclass
+class LabelModel:
+    """``prior``: share of toxic texts; ``hi``, ``lo``: how often each voter says
+    toxic in toxic and in other texts; ``rho``: correlations of voters given the class."""
+
+    prior: float
+    hi: np.ndarray
+    lo: np.ndarray
+    rho: np.ndarray
+
+    @property
+    def weights(self) -> np.ndarray:
+        """Voters that vote together beyond what the class explains share their weight."""
+        return 1 / (1 + np.where(self.rho > DEPENDENT, self.rho, 0).sum(axis=1))
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        yes, no, w = np.log(self.hi / self.lo), np.log((1 - self.hi) / (1 - self.lo)), self.weights
+        z = votes @ (w * yes) + (1 - votes) @ (w * no) + np.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _loadings(cov: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """u with cov[i, j] = u[i] u[j] for the pairs in ``free``: a median over triplets of voters."""
+    n = len(cov)
+    c = np.where(free & (cov > 1e-9), cov, np.nan)
+    upper = np.triu_indices(n, 1)
+    out = np.zeros(n)
+    for i in range(n):
+        each = (c[i][:, None] * c[i][None, :] / c)[upper]
+        each = each[np.isfinite(each)]
+        out[i] = np.sqrt(np.median(each)) if len(each) else 0.0
+    return out
+
+
+def label_model(votes: np.ndarray, rounds: int = 4) -> LabelModel:
+    """The model of texts' 0/1 votes, from second and third moments alone.
+
+    Voters are taken to be right more often than not.  Voters that fewer than two
+    others agree with tell nothing; if none is left, the prior is their mean vote."""
+    n = votes.shape[1]
+    mean = votes.mean(axis=0)
+    x = votes - mean
+    cov = x.T @ x / len(votes)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    apart = ~np.eye(n, dtype=bool)
+    free, u, rho = apart, np.zeros(n), np.zeros((n, n))
+    for _ in range(rounds):  # pairs that turn out to depend leave the triplets
+        u = _loadings(cov, free)
+        rho = np.where(apart, (cov - np.outer(u, u)) / np.outer(scale, scale), 0)
+        free = apart & (np.abs(rho) < 1.5 * DEPENDENT)
+    best = [int(i) for i in np.argsort(-u, kind="stable")[:12] if u[i] > 0]
+    triples = [(i, j, k) for i, j, k in combinations(best, 3) if free[i, j] and free[i, k] and free[j, k]]
+    if triples:
+        skew = float(np.median([(x[:, i] * x[:, j] * x[:, k]).mean() / (u[i] * u[j] * u[k]) for i, j, k in triples]))
+        prior = (1 - skew / np.sqrt(4 + skew * skew)) / 2
+    else:
+        prior = float(mean.mean()) if n else 0.5
+    prior = min(max(prior, 0.01), 0.5)
+    gap = u / np.sqrt(prior * (1 - prior))
+    lo = np.clip(mean - prior * gap, 1e-3, 1 - 1e-3)
+    return LabelModel(prior, np.maximum(np.clip(mean + (1 - prior) * gap, 1e-3, 1 - 1e-3), lo), lo, rho)
 
 
 @dataclass
@@ -173,7 +230,7 @@ class Model:
 
 
 def signals(votes: set[int], n: int) -> np.ndarray:
-    """The classifier's input: indicators, and how many voters fired."""
+    """The classifier's input: which entries were found, and how many."""
     x = np.zeros(n + 2, dtype=np.float32)
     if votes:
         x[list(votes)] = 1
@@ -198,30 +255,41 @@ def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER, most: int = VOTERS) -> Model | float:
-    """A model, or a constant score where labels or voters are missing."""
-    learn = ~in_fold("id", 5, 0)
-    rows = [labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", learn, n) for y, n in ((1, toxic), (0, other))]
-    sample = rows[0].unionByName(rows[1])
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = ENTRIES) -> tuple[Model | float, list[tuple[int, int, list[int]]]]:
+    """A model with the lexicon and no weights yet (or a constant score where labels
+    or entries are missing), and ``(id, label, entries found)`` of the sample."""
+    sample = written(labelled_sample(docs, labels, "toxic", ~in_fold("id", 5, 0), rows))
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     a, b = size.get(1, 0), size.get(0, 0)
     if not a or not b:
-        return 1.0 if a else 0.0
-    chosen = voters(counted(sample), a, b, most)
+        return (1.0 if a else 0.0), []
+    chosen = lexicon(counted(sample), a, b, most)
     if not chosen:
-        return a / (a + b)
+        return a / (a + b), []
     model = Model({s: k for k, s in enumerate(chosen)}, np.zeros(len(chosen) + 2), 0.0)
-    found = map_rows(sample, ["id", "text", "y"], "id long, y int, on array<int>", lambda r: (r[0], r[2], sorted(model.votes(r[1])))).limit(2 * (toxic + other)).toPandas()
-    found = found.sort_values("id", kind="stable")
-    votes = np.zeros((len(found), len(chosen)), dtype=np.float32)
-    for k, on in enumerate(found["on"]):
-        votes[k, on] = 1
-    y = found["y"].to_numpy()
-    # Voters start from their rates in the labelled rows; the label model goes on from votes.
-    fire = [np.clip((votes[y == c].sum(axis=0) + 0.05) / ((y == c).sum() + 0.5), 1e-4 if c else 1e-5, 0.99 if c else 0.5) for c in (1, 0)]
-    q = label_model(votes, float(y.mean()), (fire[0], fire[1]), y)
-    x = np.stack([signals(set(on), len(chosen)) for on in found["on"]])
-    model.weights, model.bias = logistic(x, q)
+    # At most `rows` rows, a number for each entry found.
+    found = map_rows(sample, ["id", "text", "y"], "id long, y int, on array<int>", lambda r: (r[0], r[2], sorted(model.votes(r[1])))).collect()
+    drop(docs.sparkSession, sample)
+    return model, sorted((r["id"], r["y"], list(r["on"])) for r in found)
+
+
+def ballots(model: Model, found: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    """What each voter says of each text."""
+    voter = np.array(dealt(list(model.index)))
+    votes = np.zeros((len(found), int(voter.max()) + 1), dtype=np.float32)
+    for k, (_, _, on) in enumerate(found):
+        votes[k, voter[on]] = 1
+    return votes
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = ENTRIES) -> Model | float:
+    """A model, or a constant score where labels or lexicon entries are missing."""
+    model, found = sampled(docs, labels, rows, most)
+    if isinstance(model, float):
+        return model
+    votes = ballots(model, found)
+    x = np.stack([signals(set(on), len(model.index)) for _, _, on in found])
+    model.weights, model.bias = logistic(x, label_model(votes).posterior(votes))
     return model
 
 
@@ -229,8 +297,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     """``doc_id, held_out, score, predicted`` of every row, from its whole text.
 
     Learns from ids outside the held-out fold (crc32 of the id modulo 5 is 0);
-    null labels and ids are passed over.  A text without words (null, empty) has
-    no votes and gets the classifier's base score; repeated rows score alike; an
+    null labels and ids are passed over, and of rows that repeat an id one is learnt
+    from.  A text without words (null, empty) has no entries and gets the classifier's base score; repeated rows score alike; an
     empty table gives no rows; without labels of both classes the score is 0, or
     1 if all are toxic.  Other columns are ignored.
     """

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,71 @@ def test_toxicity(spark):
     assert x[x.toxic == 1].predicted.mean() > 0.85 and x[x.toxic == 0].predicted.mean() < 0.01
 
 
+def plain_label_model(votes):
+    """The moments of the label model written out by loops."""
+    n, m = len(votes), len(votes[0])
+    mean = [sum(v[i] for v in votes) / n for i in range(m)]
+    cov = [[sum((v[i] - mean[i]) * (v[j] - mean[j]) for v in votes) / n for j in range(m)] for i in range(m)]
+    free = {(i, j) for i in range(m) for j in range(m) if i != j}
+    for _ in range(4):
+        u = []
+        for i in range(m):
+            good = lambda a, b: (a, b) in free and cov[a][b] > 1e-9
+            each = sorted(cov[i][j] * cov[i][k] / cov[j][k] for j in range(m) for k in range(j + 1, m) if good(i, j) and good(i, k) and good(j, k))
+            u.append(float(np.median(each)) ** 0.5 if each else 0.0)
+        rho = {(i, j): (cov[i][j] - u[i] * u[j]) / (cov[i][i] * cov[j][j]) ** 0.5 for i in range(m) for j in range(m) if i != j}
+        free = {p for p, r in rho.items() if abs(r) < 0.15}
+    best = sorted(range(m), key=lambda i: -u[i])[:12]
+    skews = []
+    for a in range(len(best)):
+        for b in range(a + 1, len(best)):
+            for c in range(b + 1, len(best)):
+                i, j, k = best[a], best[b], best[c]
+                if {(i, j), (i, k), (j, k)} <= free:
+                    skews.append(sum((v[i] - mean[i]) * (v[j] - mean[j]) * (v[k] - mean[k]) for v in votes) / n / (u[i] * u[j] * u[k]))
+    g = float(np.median(skews))
+    p = (1 - g / (4 + g * g) ** 0.5) / 2
+    d = [x / (p * (1 - p)) ** 0.5 for x in u]
+    hi, lo = [min(max(a + (1 - p) * b, 1e-3), 0.999) for a, b in zip(mean, d)], [min(max(a - p * b, 1e-3), 0.999) for a, b in zip(mean, d)]
+    weight = [1 / (1 + sum(r for (a, _), r in rho.items() if a == i and r > 0.1)) for i in range(m)]
+    q = []
+    for v in votes:
+        z = np.log(p / (1 - p)) + sum(w * (np.log(h / l) if x else np.log((1 - h) / (1 - l))) for x, w, h, l in zip(v, weight, hi, lo))  # noqa: E741
+        q.append(1 / (1 + np.exp(-z)))
+    return p, hi, lo, q
+
+
+def test_label_model():
+    """Equal to the loops, near the truth, and aware of voters that copy each other."""
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.15
+    hi, lo = np.array([0.8, 0.7, 0.6, 0.75, 0.5, 0.65, 0.65]), np.array([0.05, 0.02, 0.1, 0.04, 0.01, 0.03, 0.03])
+    votes = (rng.random((4000, 7)) < np.where(y[:, None], hi, lo)).astype(np.float32)
+    same = rng.random(4000) < 0.8
+    votes[same, 6] = votes[same, 5]  # the last two depend on each other
+    m = toxicity.label_model(votes)
+    assert abs(m.prior - 0.15) < 0.03 and np.abs(m.hi - hi).max() < 0.08 and np.abs(m.lo - lo).max() < 0.03
+    assert m.rho[5, 6] > 0.3 and m.weights[5] < 0.8 and m.weights[:5].min() > 0.85
+    q = m.posterior(votes)
+    assert ((q > 0.5) == y).mean() > 0.98
+    p, h, l, plain = plain_label_model(votes[:1500].tolist())  # noqa: E741
+    part = toxicity.label_model(votes[:1500].astype(float))
+    assert np.allclose((part.prior, *part.hi, *part.lo), (p, *h, *l), rtol=1e-4) and np.allclose(part.posterior(votes[:1500]), plain, atol=1e-4)
+    none = toxicity.label_model(np.zeros((5, 3)))
+    assert np.isfinite(none.posterior(np.ones((2, 3)))).all()
+
+
+def test_posterior_labels_are_no_copies(spark):
+    """The label model never sees labels, and its posteriors find most toxic rows all the same."""
+    model, found = toxicity.sampled(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    votes = toxicity.ballots(model, found)
+    q, y = toxicity.label_model(votes).posterior(votes), np.array([y for _, y, _ in found])
+    assert 0.85 < (q[y == 1] > 0.5).mean() < 1 and (q[y == 0] > 0.5).mean() < 0.02
+    assert 0.005 < (np.abs(q - y) > 0.1).mean() < 0.1
+    shuffled = [(i, 1 - t, on) for i, t, on in found]
+    assert (toxicity.ballots(model, shuffled) == votes).all()
+
+
 def test_language(spark):
     docs = table(spark, SF, "documents")
     x = held_out(language.identify(docs), docs.select("doc_id", "lang"), 4, 2)
