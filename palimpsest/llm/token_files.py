@@ -7,11 +7,13 @@ endian), an index and a footer; it is written front to back, so any store will d
 
 The footer is ``<8s8Q``: magic, documents, documents with a null id (they come
 first), ids, bytes of an id, lower bits of a boundary, bytes of the lower and of
-the upper part, samples.  Boundaries take about 2 + log2(ids / documents) bits.
+the upper part, samples.  Samples take 4 bytes (8 beyond 512 MB of upper bits), one
+for 256 documents; boundaries take about 2 + log2(ids / documents) bits.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -89,7 +91,13 @@ class EliasFano:
 def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    # Hadoop's names of the same store
+    return FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def _sample_kind(n_upper: int) -> str:
+    """Bit positions of ``n_upper`` bytes take four bytes, or eight beyond 512 MB."""
+    return "<u4" if n_upper * 8 < 1 << 32 else "<u8"
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str, end: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -129,7 +137,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end: int = 1, tex
             return
         starts = np.concatenate(([0], np.cumsum(lengths)))
         index = EliasFano.encode(starts)
-        for part in (np.array(ids, dtype="<i8"), index.lower, index.upper, index.samples.astype("<u8")):
+        for part in (np.array(ids, dtype="<i8"), index.lower, index.upper, index.samples.astype(_sample_kind(len(index.upper)))):
             out.write(part.tobytes())
         out.write(struct.pack(_FOOTER, _MAGIC, len(ids), nulls, int(starts[-1]), width, index.low_bits, len(index.lower), len(index.upper), len(index.samples)))
         out.close()
@@ -159,9 +167,10 @@ class TokenFile:
             raise ValueError(f"{uri} isn't a token file")
         at = self.n_ids * self.width
         index = self._at(at, size - _FOOTER_BYTES - at)
-        cut = np.cumsum([self.n_docs * 8, n_lower, n_upper, n_samples * 8])
+        samples = np.dtype(_sample_kind(n_upper))
+        cut = np.cumsum([self.n_docs * 8, n_lower, n_upper, n_samples * samples.itemsize])
         self.doc_ids = np.frombuffer(index[: cut[0]], "<i8")
-        self.bounds = EliasFano(self.n_docs + 1, low_bits, np.frombuffer(index[cut[0] : cut[1]], np.uint8), np.frombuffer(index[cut[1] : cut[2]], np.uint8), np.frombuffer(index[cut[2] : cut[3]], "<u8"))
+        self.bounds = EliasFano(self.n_docs + 1, low_bits, np.frombuffer(index[cut[0] : cut[1]], np.uint8), np.frombuffer(index[cut[1] : cut[2]], np.uint8), np.frombuffer(index[cut[2] : cut[3]], samples))
 
     def _at(self, start: int, n: int) -> bytes:
         self._file.seek(start)

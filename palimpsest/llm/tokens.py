@@ -43,8 +43,10 @@ class Encoder:
         self._letters = {ord(c): self._made.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x250)) if c.isalpha()} if by_word else {}
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not known yet.  A letters-only piece and the signs after it
-        are separate to the splitter, so "word," is "word" and ",", both maybe known."""
+        """Ids of pieces not known yet.  Latin letters and the signs after them are
+        separate to the splitter, so "word," is "word" and ",", both maybe known; all
+        else goes to the library whole, as letters may turn into marks (the lower case
+        of U+0130 ends in one), which the splitter joins to signs."""
         known = self._known
         if len(known) + 2 * len(missing) > _CACHED:
             known.clear()
@@ -52,7 +54,8 @@ class Encoder:
         parts = {}
         for p in missing:
             stem = p.rstrip(_TAIL)
-            parts[p] = (stem, p[len(stem) :]) if len(stem) < len(p) and stem.isalpha() else (p,)
+            plain = stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem)
+            parts[p] = (stem, p[len(stem) :]) if plain and len(stem) < len(p) else (p,)
         new = {q for x in parts.values() for q in x if q not in known}
         ids, other = {}, []
         for q in new:

@@ -313,6 +313,18 @@ def test_word_cache_equals_whole_texts():
         assert (encode(text, 2) == ids_of(text, 2)).all()
 
 
+def test_word_cache_on_random_strings():
+    """Latin letters, marks, signs, spaces and special tokens in any order."""
+    import random
+
+    r = random.Random(11)
+    parts = [*"aAzZéÉßİIıŒœ", "\u0301", "\u0307", "\u0323", *"'.,!?-_#<>|", *" \n\t\u00a0\u2003", "'s", "ADİ", "<|endoftext|>", "א", "\ufb1d", "\u0958", "漢", "9", "²", "😀"]
+    encode, plain = tokens.encoder(tokens.default_vocabulary(), True), Tokenizer.from_file(tokens.default_vocabulary())
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(50_000)] + ["ADİ, BİLGİ."]
+    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text, 2).tolist() == [*want.ids, 2], text
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 3000):
@@ -357,9 +369,24 @@ def test_packing(spark):
     assert sorted(total) == list(range(len(total)))
     want = Counter((r[0], len(ids_of(r[1], 2))) for r in rows)
     assert Counter((i, t) for i, t, s in zip(got.doc_id.astype(object).where(got.doc_id.notna(), None), got.doc_tokens, got.start) if s == 0) == want
-    one = got[got.doc_id == 43].sort_values("start")
-    ids = ids_of(rows[[r[0] for r in rows].index(43)][1], 2)
-    assert one["length"].sum() == len(ids) and all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(one.start, one["length"], one.ids_crc32))
+    # Every id of every document stands in exactly one piece.
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r[0]].append(ids_of(r[1], 2))
+    for i, g in got.groupby(got.doc_id.astype(object).where(got.doc_id.notna(), -1)):
+        every = texts[None if i == -1 else i]
+        places = Counter((int(t), int(s), int(n)) for t, s, n in zip(g.doc_tokens, g.start, g["length"]))
+        want = Counter()
+        for t, own in Counter(len(x) for x in every).items():
+            at = 0
+            for n, _ in packing.cut(t):
+                want[t, at, n] += own
+                at += n
+        assert places == want
+        for s, n, c, t in zip(g.start, g["length"], g.ids_crc32, g.doc_tokens):
+            assert c in {zlib.crc32(x[s : s + n].tobytes()) for x in every if len(x) == t}
+    # Little padding: the last sequence aside, under a hundredth.
+    assert 4096 * (len(total) - 1) < 1.01 * sum(total.values()) + 4096
     assert packing.pack(frame(spark, empty=True)).count() == 0
 
 
