@@ -17,8 +17,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     least node that it reaches.
 
     Alternating large-star and small-star rounds; each replaces edges by edges
-    to a least neighbour, found by a combining aggregate, so a node with very
-    many edges is no special case.  Every round is written to the shared folder.
+    to a least neighbour, found by a combining aggregate.  Those aggregates and
+    every round are written to the shared folder, so that both sides of a join are
+    plain tables and Spark can split the edges of a node that has very many.
     """
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -27,15 +28,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # large star: every larger neighbour goes to the least of the neighbourhood
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large)
+        drop(spark, least)
         # small star: a node and its smaller neighbours go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         small = written(small)
-        drop(spark, now, large)
+        drop(spark, now, large, least)
         now, after = small, _signature(small)
         if after == before:
             break

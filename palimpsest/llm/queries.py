@@ -73,15 +73,14 @@ WITH pieces AS (
 marked AS (
   SELECT *, NOT regexp_full_match(piece, '[.!? \t\n\r\x0b\x0c]*') AS real_one, trim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM pieces),
 numbered AS (
-  SELECT doc_id, ord, k, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn,
-         len(regexp_extract_all(k, '[^ \t\n\r\x0b\x0c]+')) AS words
+  SELECT doc_id, ord, k, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn
   FROM marked WHERE real_one),
 runs AS (
-  SELECT doc_id, rn, k || chr(10) || lead(k) OVER d AS run, words + lead(words) OVER d AS words
+  SELECT doc_id, rn, k || chr(10) || lead(k) OVER d AS run
   FROM numbered WINDOW d AS (PARTITION BY doc_id ORDER BY rn)),
 placed AS (
   SELECT doc_id, rn, row_number() OVER (PARTITION BY run ORDER BY doc_id, rn) AS nth
-  FROM runs WHERE run IS NOT NULL AND words >= 10),
+  FROM runs WHERE run IS NOT NULL),
 gone AS (
   SELECT DISTINCT doc_id, rn FROM (
     SELECT doc_id, rn FROM placed WHERE nth > 1 UNION ALL SELECT doc_id, rn + 1 FROM placed WHERE nth > 1)),

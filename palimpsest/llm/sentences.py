@@ -1,7 +1,7 @@
 """Removal of sentences that repeat in spans.
 
 A text is cut into sentences; every run of ``span`` consecutive sentences is
-hashed (128 bits) and joined over the whole corpus; a sentence goes if any run
+hashed (128 bits), however short, and joined over the whole corpus; a sentence goes if any run
 that covers it also occurs earlier, in the order of (id, hash of the text, position).
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import keyed, same_key, tune, written
 from .suffix_dedup import _packed, _unpack
 
-#: Sentences in a run, and words in it at least.
-SPAN, LEAST_WORDS = 2, 10
+#: Sentences in a run.
+SPAN = 2
 _PIECE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 _EDGE = " \t\n\r\x0b\x0c"
 _BLANK = re.compile(r"[.!? \t\n\r\x0b\x0c]*")
@@ -32,19 +32,14 @@ def sentences(text: str) -> tuple[list[str], list[int]]:
     return pieces, [k for k, p in enumerate(pieces) if not _BLANK.fullmatch(p)]
 
 
-def runs(text: str, span: int, least_words: int) -> list[bytes | None]:
-    """A digest of each run; None for runs of fewer words."""
+def runs(text: str, span: int) -> list[bytes]:
+    """A digest of each run."""
     pieces, at = sentences(text)
     keys = [pieces[k].strip(_EDGE) for k in at]
-    words = [len(k.split()) for k in keys]
-    out: list[bytes | None] = []
-    for k in range(len(keys) - span + 1):
-        enough = sum(words[k : k + span]) >= least_words
-        out.append(xxhash.xxh3_128_digest("\n".join(keys[k : k + span]).encode()) if enough else None)
-    return out
+    return [xxhash.xxh3_128_digest("\n".join(keys[k : k + span]).encode()) for k in range(len(keys) - span + 1)]
 
 
-def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", span: int = SPAN) -> DataFrame:
     """``doc_id, n_sentences, n_removed, kept`` of every row.
 
     A null or empty text has no sentences; a text of fewer than ``span`` keeps
@@ -61,7 +56,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         for batch in batches:
             out = []
             for doc_id, th, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))):
-                out += [(r, doc_id, th, k) for k, r in enumerate(runs(t or "", span, least_words)) if r is not None]
+                out += [(r, doc_id, th, k) for k, r in enumerate(runs(t or "", span))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
 
@@ -69,7 +64,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     place = F.struct("doc_id", "th", "at")
     # Written, so that a run which very many documents share is a side that the join can split.
     first = written(found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT first <=> last").select("run", "first"))
-    again = found.join(first, "run").where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(F.collect_list("at").alias("gone"))
+    again = found.join(first, "run").where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     packed = _packed(rows)
     both = packed.join(again, same_key(packed, again), "left").select(packed["doc_id"], "n_bytes", "packed", "gone")
     result = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])

@@ -209,7 +209,8 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     name = ["part", "key", "mask", "rest"]
     found = []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy(*name).count().where("count > 1")
+        # Written, so that a bucket of very many members is a side that the join can split.
+        sizes = written(rows.groupBy(*name).count().where("count > 1"))
         last = level == LEVELS
         sized = rows.join(sizes, name)
         cold = sized if last else sized.where(F.col("count") <= bucket)
@@ -243,7 +244,9 @@ def grouped(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     fps = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(fps.select("fp"), radius, bucket))
     linked = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    of = written(linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id"))
+    linked = written(linked)
+    least = written(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    of = written(linked.join(least, "root").select("fp", "root", "component_id"))
     return each.join(of, "fp")
 
 

@@ -12,8 +12,10 @@ times over, so the order of work is:
    and through; one run of each such class goes on for the comparison with others.
 3. What is left, distinct runs under one anchor, carries its bytes to a task
    that does the remaining digit passes (:func:`windows.repeated`), 8 bytes a
-   pass, and stops at ``size``.  An anchor with more than ``hot`` distinct runs
-   isn't gathered in a task: there each window goes out under a 128-bit digit.
+   pass, and stops at ``size``.  As in any most-significant-digit sort only small
+   groups are finished in one place: under an anchor with more than ``hot``
+   distinct runs the next pass is spread over tasks, by a digit of 128 bits of
+   each window.  Which of the two a group takes changes no result.
 
 Work and traffic grow with the text; nothing is paired.
 """
@@ -228,7 +230,7 @@ def repeated_spans(docs: DataFrame, size: int, gram: int = GRAM, hot: int = HOT_
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = parts.where("NOT hot").select(columns).repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_blocks(size), "doc_id long, th long, lo int, hi int")
     wide = parts.where("hot").select(columns).mapInArrow(_hot_windows(size), "gram long, lead short, digit binary, doc_id long, th long, at int, single boolean")
-    equal = wide.groupBy("gram", "lead", "digit").count().where("count > 1").select("gram", "lead", "digit")
+    equal = written(wide.groupBy("gram", "lead", "digit").count().where("count > 1").select("gram", "lead", "digit"))
     wide = wide.where("single").join(equal, ["gram", "lead", "digit"]).select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return known.unionByName(whole).unionByName(cold).unionByName(wide)
 
@@ -246,7 +248,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """
     tune(docs.sparkSession)
     rows = keyed(docs, text, id_col, carry)
-    spans = repeated_spans(rows.select("doc_id", "th", "text"), size, gram, hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows.select("doc_id", "th", "text"), size, gram, hot).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     packed = _packed(rows)
     others = ["carry"] if carry else []
     both = packed.join(spans, same_key(packed, spans), "left").select(packed["doc_id"], *others, "n_bytes", "packed", "spans")
