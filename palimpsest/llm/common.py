@@ -91,6 +91,13 @@ def keyed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: li
     return docs.select(*own, *([F.struct(*carry).alias("carry")] if carry else []))
 
 
+def whole_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, th`` as of :func:`keyed`, and all columns in a struct ``row``, where
+    no name of theirs can clash with one of ours."""
+    th = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), th.alias("th"), F.struct(*docs.columns).alias("row"))
+
+
 def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 

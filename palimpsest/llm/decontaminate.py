@@ -7,22 +7,21 @@ counted over all documents, windows with a shingle that no document has are
 settled at once, and each other window is joined by its rarest.  The shingle's
 place gives the window's only possible start, which must leave it inside the
 document (position and length bounds); then the words themselves are compared.
+
+Texts are shingled once: places of shingles that any window has are written, as
+numbers alone, and words are looked at again only in documents with a candidate.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same_key, written
+from .common import drop, same_key, written
 
 WINDOW, SHINGLE = 13, 5
-#: Windows whose table (about 150 bytes each) may be broadcast; beyond, joins shuffle.
+#: Rows of a table (about 150 bytes each) that may be broadcast; beyond, joins shuffle numbers.
 BROADCAST_WINDOWS = 200_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,38 +53,33 @@ def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return out.withColumn("h", F.explode(F.array(*(F.when(F.col("p") + s <= F.size("w"), _shingle("w", "p", s)) for s in sizes)))).where("h IS NOT NULL")
 
 
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def occurrences(docs: DataFrame, windows: DataFrame, shingle: int, broadcast_windows: int) -> DataFrame:
     """``doc_id, th, at, len, win``: where windows occur in documents.
 
     ``docs`` has doc_id, th and w (words); ``windows`` has win and len, distinct."""
-    n = windows.count()
+    spark = docs.sparkSession
     sized = windows.withColumn("ww", F.split("win", " ")).withColumn("s", F.least("len", F.lit(shingle)))
     sizes = [r["s"] for r in sized.select("s").distinct().orderBy("s").collect()] or [shingle]  # at most `shingle` numbers
     grams = sized.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("s"))))
     hashed = F.coalesce(*(F.when(F.col("s") == s, _shingle("ww", "j", s)) for s in sizes))
     grams = written(grams.select("win", "len", "j", hashed.alias("h")))
-    small = n <= broadcast_windows
-    keys = grams.select("h").distinct()
-    places = _positions(docs, sizes)
-    if small:
-        counts = places.join(F.broadcast(keys), "h", "left_semi").groupBy("h").agg(F.count("*").alias("c"))
-    else:
-        counts = places.groupBy("h").agg(F.count("*").alias("c")).join(keys, "h", "left_semi")
-    counts = written(counts)
+    keys = written(grams.select("h").distinct())
+    places = _positions(docs, sizes).select("doc_id", "th", "p", F.size("w").alias("n"), "h")
+    places = written(places.join(_small(keys, 16 * broadcast_windows), "h", "left_semi"))
+    counts = written(places.groupBy("h").agg(F.count("*").alias("c")))
     rare = grams.join(counts, "h", "left").groupBy("win", "len").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "j")).alias("r"))
     prefix = written(rare.where("r.c > 0").select("win", "len", F.col("r.h").alias("h"), F.col("r.j").alias("j")))
-    inside = (F.col("p") >= F.col("j")) & (F.col("p") - F.col("j") + F.col("len") <= F.size("w"))
-    if small:
-        found = places.join(F.broadcast(prefix), "h")
-    else:
-        # Only the words around a position travel, and only for hashes that a window waits for.
-        near = places.select("doc_id", "th", "h", F.greatest(F.col("p") - WINDOW, F.lit(0)).alias("from"), "p", "w")
-        near = near.select("doc_id", "th", "h", (F.col("p") - F.col("from")).alias("p"), "from", F.slice("w", F.col("from") + 1, 3 * WINDOW).alias("w"))
-        found = near.join(prefix, "h")
-    start = F.col("p") - F.col("j")
-    same = F.array_join(F.slice("w", start + 1, F.col("len")), " ") == F.col("win")
-    shift = F.lit(0) if small else F.col("from")
-    return found.where(inside).where(same).select("doc_id", "th", (start + shift).alias("at"), "len", "win")
+    inside = (F.col("p") >= F.col("j")) & (F.col("p") - F.col("j") + F.col("len") <= F.col("n"))
+    found = written(places.join(_small(prefix, broadcast_windows), "h").where(inside).select("doc_id", "th", (F.col("p") - F.col("j")).alias("at"), "len", "win").distinct())
+    drop(spark, grams, keys, places, counts)
+    near = _small(found, broadcast_windows)
+    same = F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ") == F.col("win")
+    return docs.join(near, same_key(docs, near)).where(same).select(docs["doc_id"], docs["th"], "at", "len", "win")
 
 
 def _hits(docs: DataFrame, bench: DataFrame, window: int, shingle: int, text: str, id_col: str, item_text: str, item_id: str, broadcast_windows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,30 +133,6 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def passages(docs: DataFrame, bench: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, th, n_words, n_hit, spans`` of each distinct row that has hits; spans are sorted (first word, words)."""
-    base, _, hits = _hits(docs, bench, WINDOW, SHINGLE, text, id_col, "text", "item_id", BROADCAST_WINDOWS)
-    found = hits.groupBy("doc_id", "th").agg(_spans().alias("spans"))
-    rows = base.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
-    return rows.join(found, same_key(rows, found)).select(rows["doc_id"], rows["th"], "n_words", _n_covered(F.col("spans")).alias("n_hit"), "spans").dropDuplicates(["doc_id", "th"])
-
-
-def without(text: Column, spans: Column) -> Column:
-    """The text without the words of the spans and what stands between them; what
-    stands before and after a passage stays."""
-
-    @F.pandas_udf("string")
-    def cut(t: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for value, each in zip(t, found):
-            at, parts, end, done = [m.span() for m in _WORD.finditer(value)], [], 0, 0
-            for s in each:
-                first, last = max(s["at"], done), s["at"] + s["n"]
-                if last > first:
-                    if s["at"] > done or not done:
-                        parts.append(value[end : at[first][0]])
-                    end, done = at[last - 1][1], last
-            out.append("".join(parts) + value[end:])
-        return pd.Series(out)
-
-    return cut(text, spans)
+def hit_rows(docs: DataFrame, bench: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, th`` of the distinct rows in which any window occurs."""
+    return _hits(docs, bench, WINDOW, SHINGLE, text, id_col, "text", "item_id", BROADCAST_WINDOWS)[2].select("doc_id", "th").distinct()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keyed, tune, written
+from .common import drop, keyed, same_key, tune, whole_rows, written
 from .components import components
 
 BITS = 64
@@ -275,9 +275,9 @@ def first_of_each(docs: DataFrame, found: DataFrame, text: str = "text", id_col:
     """The rows of ``docs`` that :func:`one_of_each` keeps; ``found`` has doc_id, th and root."""
     rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")
-    keep = written(rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"), F.col("k.n").alias("__n")))
-    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    kept = docs.withColumn("__key", key).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
+    keep = written(rows.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.th", "k.n"))
+    each = whole_rows(docs, text, id_col)
+    kept = each.join(keep, same_key(each, keep)).select(each["doc_id"], each["th"], "n", "row")
     # Only keys that rows repeat are sorted out; all others go by without another shuffle.
-    one, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates([id_col, "__key"])
-    return one.unionByName(more).select(*docs.columns)
+    one, more = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["doc_id", "th"])
+    return one.unionByName(more).select("row.*")

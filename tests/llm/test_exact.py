@@ -279,29 +279,21 @@ def test_contamination(spark, most):
     assert decontaminate.contamination(frame(spark, empty=True), df).count() == 0
 
 
-def test_benchmark_stage_cuts_passages(spark, tmp_path):
-    """Documents under a twentieth lose the passage, also one that only a cut brings together; others stay as they are."""
+def test_benchmark_stage(spark, tmp_path):
+    """Any window of 13 words takes its document, however long that is; twelve words, or other order, don't."""
     import corpus_pipeline
 
     plain = lambda k, n: " ".join(f"{k}é{i}" for i in range(n))
-    item, other = [f"Q{i}" for i in range(20)], [f"z{i}" for i in range(13)]
-    split = f"{plain('a', 600)}, {' '.join(other[:6])} ({'; '.join(item)}) {' '.join(other[6:])}. {plain('b', 600)}"
+    item = [f"Q{i}" for i in range(20)]
     rows = [
-        (1, f"{plain('c', 500)}. {' '.join(item).lower()}! {plain('d', 500)}", "en", "a"), (None, f"{plain('e', 900)}\n{' '.join(item[3:17])}", "en", "a"), (2, split, None, "a"),
-        (3, f"{plain('f', 100)} {' '.join(item)}", "en", "a"), (4, plain("g", 50), "en", None), (5, f"{plain('h', 400)} {' '.join(item[:12])}", "en", "a"), (6, None, "en", "a"),
+        (1, f"{plain('c', 5000)}. {' '.join(item).lower()}! {plain('d', 500)}", "en", "a"), (None, f"{plain('e', 900)}\n{' '.join(item[3:16])}", "en", "a"), (3, f"{plain('f', 100)} {' '.join(item)}", "en", "a"),
+        (4, plain("g", 50), "en", None), (5, f"{plain('h', 400)} {' '.join(item[:12])}", "en", "a"), (6, None, "en", "a"), (7, " ".join(reversed(item)), "en", "a"), (None, plain("k", 9), None, None), (8, "", "en", "a"), (4, f"x {' '.join(item)}", "en", "a"), (5, f"{plain('h', 400)} {' '.join(item[:12])}", "en", "a"),
     ]
-    bench = [(1, " ".join(item)), (2, " ".join(other))]
-    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = frame(spark, rows)
     out = corpus_pipeline.benchmark_stage(spark, docs, f"file://{tmp_path}")
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    got = {r["doc_id"]: r for r in out.collect()}
-    assert {k: r["text"] for k, r in got.items()} == {
-        1: f"{plain('c', 500)}. ! {plain('d', 500)}", None: f"{plain('e', 900)}\n", 2: f"{plain('a', 600)}, . {plain('b', 600)}",
-        4: rows[4][1], 5: rows[5][1], 6: None,
-    }
-    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values())
-    assert not any(h[2] for h in hits([(r["doc_id"], r["text"]) for r in got.values()], bench))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(((r[0], r[1]) for r in rows if r not in (rows[0], rows[1], rows[2], rows[9])), key=str)
 
 
 def test_native_operators_run_no_python(spark):
