@@ -11,9 +11,10 @@ Inserts, updates and deletes append versions to a log; nothing is changed in pla
 
 from __future__ import annotations
 
-import tempfile
+import json
+import os
+import platform
 import threading
-import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import replace
@@ -30,7 +31,7 @@ from .errors import ConfigurationError, DatasetError, EncryptionNotReady, FlushE
 from .operators import IndexRoot, Query, SetIndexRoot
 from .plans import versions as plan
 from .sources import crypto
-from .sources.files import Files
+from .sources.files import Files, shared_dir
 from .sources.log import LogStore, Meta
 
 DEFAULT_FLUSH_SECONDS, MAX_FLUSH_SECONDS = 5, 60
@@ -201,6 +202,10 @@ class Catalog:
             raise DatasetError(f"dataset {name} is already open")
         return Dataset(self, config)
 
+    def unlock(self, name: str) -> None:
+        """Remove the lock that a process of another machine left when it died."""
+        Files(self.spark).delete(f"{self._closed(name).path}/_lock")
+
     def _closed(self, name: str) -> Config:
         config = self.get(name)
         config._persisted("maintenance")
@@ -220,7 +225,7 @@ class Catalog:
             raise ConfigurationError(f"dataset {name} has no archive")
         if not Files(self.spark).exists(config.archive_path):
             raise DatasetError(f"the archive of {name} is empty")
-        rows = self.spark.read.parquet(config.archive_path)
+        rows = self.spark.read.parquet(config.archive_path).drop("generation")
         return _readable(rows, _archived_schema(rows), config).select("_id", "_state", "_state_at", "_created_at", "archived_at", *(c for c in _archived_schema(rows).names))
 
     def restore(self, name: str, at: datetime, out: str) -> int:
@@ -245,8 +250,16 @@ def _readable(rows: DataFrame, values: StructType, config: Config) -> DataFrame:
     """Decrypted rows; encrypted ones that the key (or its absence) can't open are left out."""
     if config.key is None:
         return rows.where("NOT coalesce(_encrypted, false)")
-    text = crypto.decrypt(F.col("_payload"), config.key, config.cipher)
+    key = crypto.hidden(rows.sparkSession, config.key)
+    text = crypto.decrypt(F.col("_payload"), key, config.cipher)
     opened = rows.withColumn("_open", F.when(F.col("_encrypted"), config._decode(text, values)))
+    # A payload that the key doesn't open isn't there; one that opens to nulls alone
+    # is there if they are what was put in, and not what a codec makes of noise.
+    nulls = F.lit(True)
+    for f in values.fields:
+        nulls = nulls & F.col("_open")[f.name].isNull()
+    same = config._encode(F.struct(*(F.col("_open")[f.name].alias(f.name) for f in values.fields))) == text
+    opened = opened.where(~F.coalesce("_encrypted", F.lit(False)) | (F.col("_open").isNotNull() & (~nulls | F.coalesce(same, F.lit(False)))))
     return opened.select(*(F.when(F.col("_encrypted"), F.col("_open")[f.name]).otherwise(F.col(f.name)).alias(f.name) if f.name in values.names else F.col(f.name) for f in rows.schema.fields))
 
 
@@ -257,6 +270,15 @@ def _fitting(of: DataType) -> Callable[[Any], Any]:
     return float if isinstance(of, (FloatType, DoubleType)) else lambda v: v
 
 
+def _began(pid: int) -> str | None:
+    """When a process of this machine began, in the system's terms; None if there is none."""
+    try:
+        with open(f"/proc/{pid}/stat", encoding="utf-8", errors="replace") as f:
+            return f.read().rpartition(")")[2].split()[19]
+    except OSError:
+        return None
+
+
 class Dataset:
     """An open dataset; use it as a context."""
 
@@ -264,17 +286,19 @@ class Dataset:
         self._catalog, self.config, self.spark = catalog, config, catalog.spark
         self._files = Files(self.spark)
         self._volatile = config.path is None
-        path = config.path or f"{(self.spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+        path = config.path or f"{shared_dir(self.spark)}/palimpsest-{uuid.uuid4().hex}"
         self._lock = threading.RLock()
         self._rows: list[tuple[int, bool, dict]] = []
         self._halted: BaseException | None = None
         self.on_halted: Callable[[BaseException], None] | None = None
         self._closed_ = False
         self._lock_uri = f"{path}/_lock"
-        if not self._volatile and not self._files.create_new(self._lock_uri, str(time.time())):
-            raise DatasetError(f"{config.name} is open elsewhere: {self._lock_uri} exists")
+        if not self._volatile:
+            self._take_lock()
         try:
             self._log = LogStore(self.spark, path, config.schema)
+            if config.mode != Mode.READ_ONLY and not self._volatile:
+                self._log.sweep()
             if self._log.meta.batches and config.mode != Mode.APPEND_ONLY:
                 self._log.check()
         except BaseException:
@@ -287,6 +311,22 @@ class Dataset:
 
     # life cycle
 
+    def _take_lock(self) -> None:
+        """The lock file names its process; that of a process of this machine that is gone is taken over."""
+        own = json.dumps({"host": platform.node(), "pid": os.getpid(), "began": _began(os.getpid())})
+        if self._files.create_new(self._lock_uri, own):
+            return
+        try:
+            held = json.loads(self._files.read_text(self._lock_uri))
+            gone = held["host"] == platform.node() and _began(held["pid"]) != held["began"]
+        except (ValueError, KeyError, TypeError):
+            gone = False
+        if gone:
+            self._files.delete(self._lock_uri)
+            if self._files.create_new(self._lock_uri, own):
+                return
+        raise DatasetError(f"{self.config.name} is open elsewhere: {self._lock_uri} exists (Catalog.unlock removes it)")
+
     def __enter__(self) -> Dataset:
         return self
 
@@ -318,14 +358,20 @@ class Dataset:
 
     # rows
 
+    def _fresh(self) -> DataFrame:
+        with self._lock:
+            self._write_buffered()
+            if self._log.meta.clean:
+                return self._log.read()
+            return plan.current(self._log.read("i"), self._log.read("c"))
+
     def _log_rows(self) -> DataFrame:
         self._write_buffered()
         return self._log.read()
 
     def _current(self) -> DataFrame:
         """Current versions with system columns, values readable."""
-        rows = plan.fresh(self._log_rows(), self._log.meta.clean)
-        return _readable(rows, self._log.value_schema, self.config)
+        return _readable(self._fresh(), self._log.value_schema, self.config)
 
     def rows(self) -> DataFrame:
         """Current rows: ``_id``, ``_seq`` (the natural order), values and derived columns."""
@@ -333,10 +379,12 @@ class Dataset:
         return self._current().select("_id", "_seq", *self._log.value_schema.names).withColumns(self.config._derived)
 
     def query(self) -> Query:
-        return Query(self.rows(), ["_seq"], self._update_rows, self._delete_rows)
+        """Rows are those that are current when a terminal runs."""
+        self._guard()
+        return Query(self.rows, ["_seq"], self._update_rows, self._delete_rows)
 
     def _index_query(self, predicate: Column, key: Column | None) -> Query:
-        return Query(self.rows().where(predicate), ["_seq"], self._update_rows, self._delete_rows, None if key is None else [key])
+        return Query(lambda: self.rows().where(predicate), ["_seq"], self._update_rows, self._delete_rows, None if key is None else [key])
 
     def via_index(self, name: str) -> IndexRoot:
         self._guard()
@@ -359,9 +407,10 @@ class Dataset:
         self._guard(append=predicate is None)
         if predicate is None:
             self._write_buffered()
-            if self._log.meta.clean:
-                return self._log.meta.rows
-            return plan.fresh(self._log.read()).count()
+            meta = self._log.meta
+            if meta.clean and (not meta.sealed or self.config.mode == Mode.APPEND_ONLY):
+                return meta.rows
+            return self._current().count() if meta.sealed else self._fresh().count()
         return self._matching(predicate).count()
 
     def _matching(self, what: Column | str | int) -> DataFrame:
@@ -442,7 +491,7 @@ class Dataset:
                 data = [(i, seq + k + 1, e, *(None if (v := r.get(n)) is None else f(v) for n, f in zip(names, fit))) for k, (i, e, r) in enumerate(held)]
                 kind = StructType.fromDDL("_id long, _seq long, _encrypted boolean")
                 df = self.spark.createDataFrame(data, StructType([*kind.fields, *schema.fields]), verifySchema=False)
-                self._log.append(self._stored(df, "I", F.lit(datetime.now(timezone.utc))), len(held), last_id=max(self._log.meta.last_id, held[-1][0]), last_seq=seq + len(held))
+                self._log.append(self._stored(df, "I", F.lit(datetime.now(timezone.utc))), len(held), last_id=max(self._log.meta.last_id, held[-1][0]), last_seq=seq + len(held), sealed=self._log.meta.sealed or any(e for _, e, _ in held))
                 self._rows = []
             except Exception as e:
                 self._halted = e
@@ -462,12 +511,14 @@ class Dataset:
         if self.config.key is None:
             return out.withColumn("_length", length.cast("long")).withColumn("_payload", F.lit(None).cast("binary"))
         out = out.withColumn("_length", F.when(F.col("_encrypted"), crypto.encrypted_length(length, self.config.cipher)).otherwise(length).cast("long"))
-        out = out.withColumn("_payload", F.when(F.col("_encrypted"), crypto.encrypt(payload, self.config.key, self.config.cipher)))
+        out = out.withColumn("_payload", F.when(F.col("_encrypted"), crypto.encrypt(payload, crypto.hidden(self.spark, self.config.key), self.config.cipher)))
         return out.withColumns({n: F.when(~F.col("_encrypted"), F.col(n)) for n in schema.names})
 
-    def _insert_frame(self, df: DataFrame, encrypt: bool, order: list | None) -> tuple[int, int]:
+    def _insert_frame(self, df: DataFrame, encrypt: bool, order: list | None, stream: tuple[str, int] | None = None) -> tuple[int, int]:
+        """``stream``, a name and the number of its batch, is committed with the rows."""
         with self._lock:
             self._write_buffered()
+            more = {"streams": self._log.meta.streams | dict([stream])} if stream else {}
             if not self._log.meta.schema:
                 self._log.meta.schema = StructType([f for f in df.schema.fields]).json()
             df = df.select(*self._log.value_schema.names)
@@ -475,14 +526,23 @@ class Dataset:
             rows, n, stage = self._log.numbered(df, 0, "_k0", order)
             if n:
                 rows = rows.withColumn("_id", F.col("_k0") + first).withColumn("_seq", F.col("_k0") + self._log.meta.last_seq + 1).withColumn("_encrypted", F.lit(encrypt))
-                self._log.append(self._stored(rows, "I", F.lit(datetime.now(timezone.utc))), n, last_id=first + n - 1, last_seq=self._log.meta.last_seq + n)
+                self._log.append(self._stored(rows, "I", F.lit(datetime.now(timezone.utc))), n, last_id=first + n - 1, last_seq=self._log.meta.last_seq + n, sealed=self._log.meta.sealed or encrypt, **more)
                 self._next_id = first + n
             self._files.delete(stage)
             return first, first + n - 1
 
-    def _append_versions(self, targets: DataFrame, op: str, values: dict[str, Column]) -> int:
-        """A version or tombstone for each target row, with one time for all."""
+    def _insert_batch(self, df: DataFrame, name: str, number: int) -> None:
+        """A stream's batch, unless its number was committed before."""
+        self._guard(append=True)
+        with self._lock:
+            if number > self._log.meta.streams.get(name, -1):
+                self._insert_frame(df, False, None, (name, number))
+
+    def _append_versions(self, rows: Callable[[], DataFrame], op: str, values: dict[str, Column]) -> int:
+        """A version or tombstone for each target row, with one time for all.  Targets
+        are found and written under one lock, so that no change comes between."""
         with self._lock:
+            targets = rows()
             names = self._log.value_schema.names
             unknown = set(values) - set(names)
             if unknown:
@@ -502,22 +562,22 @@ class Dataset:
             self._files.delete(stage)
             return n
 
-    def _update_rows(self, targets: DataFrame, values: dict[str, Any]) -> int:
+    def _update_rows(self, rows: Callable[[], DataFrame], values: dict[str, Any]) -> int:
         self._guard(write=True)
-        return self._append_versions(targets, "U", {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()})
+        return self._append_versions(rows, "U", {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()})
 
-    def _delete_rows(self, targets: DataFrame) -> int:
+    def _delete_rows(self, rows: Callable[[], DataFrame]) -> int:
         self._guard(write=True)
-        return self._append_versions(targets, "D", {})
+        return self._append_versions(rows, "D", {})
 
     def update(self, what: Column | str | int, **values: Any) -> int:
         """New versions of all matching rows; returns how many."""
         self._guard(write=True)
-        return self._update_rows(self._matching(what), values)
+        return self._update_rows(lambda: self._matching(what), values)
 
     def delete(self, what: Column | str | int) -> int:
         self._guard(write=True)
-        return self._delete_rows(self._matching(what))
+        return self._delete_rows(lambda: self._matching(what))
 
     # maintenance
 
@@ -550,7 +610,7 @@ class Dataset:
             raise ConfigurationError("the dataset has no snapshot path")
         at = datetime.now(timezone.utc)
         at = at.replace(microsecond=at.microsecond // 1000 * 1000)
-        rows = plan.fresh(self._log_rows(), self._log.meta.clean)
+        rows = self._fresh()
         self._copy(rows, f"{self.config.snapshot_path}/{self._catalog.snapshot_name(self.config.name, at)}")
         return at
 
@@ -566,7 +626,7 @@ class Dataset:
         if store.meta.batches:
             raise DatasetError(f"{out} holds a dataset")
         self._room_for(out)
-        store.meta = replace(Meta(), schema=self._log.meta.schema, last_id=self._log.meta.last_id, last_seq=self._log.meta.last_seq, generation=-1)
+        store.meta = replace(Meta(), schema=self._log.meta.schema, last_id=self._log.meta.last_id, last_seq=self._log.meta.last_seq, generation=-1, sealed=self._log.meta.sealed, uid=uuid.uuid4().hex)
         store.rewrite(rows.withColumn("_op", F.lit("I")), 0)
         n = store.read().count()
         store.commit(replace(store.meta, rows=n))
@@ -582,14 +642,20 @@ class Dataset:
         if self.config.archive_path:
             at = datetime.now(timezone.utc)
             gone = found.where("_state <> 'Fresh'").withColumn("archived_at", F.lit(f"{at:%Y%m%d.%H%M.%S}.{at.microsecond // 1000:03d}"))
-            gone.write.mode("append").partitionBy("archived_at").parquet(self.config.archive_path)
+            # One folder for each generation of this log: a retry after a crash replaces its own rows.
+            gone.write.mode("overwrite").parquet(f"{self.config.archive_path}/generation={self._log.meta.uid}-{self._log.meta.generation}")
         rows = found.where("_state = 'Fresh'").drop("_state", "_state_at").withColumn("_op", F.lit("I"))
         self._log.rewrite(rows, by.get(plan.FRESH, 0))
         return by.get(plan.STALE, 0), by.get(plan.DELETED, 0)
 
+    def _archived(self) -> DataFrame:
+        """Archived versions that the log itself no longer holds: a crash may have come between archive and rewrite."""
+        rows = self.spark.read.parquet(self.config.archive_path)
+        return rows.where(F.col("generation") != f"{self._log.meta.uid}-{self._log.meta.generation}").drop("generation", "archived_at")
+
     def _restore(self, at: datetime, out: str) -> int:
         found = [plan.versions(self._log.read())]
         if self.config.archive_path and self._files.exists(self.config.archive_path):
-            found.append(self.spark.read.parquet(self.config.archive_path).drop("archived_at"))
+            found.append(self._archived())
         rows = plan.as_of(plan.union(found), F.lit(at).cast("timestamp"))
         return self._copy(rows.drop("_state", "_state_at"), out)

@@ -7,6 +7,9 @@ where an offset or limit depends on it, or where rows are handed out in order.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
+from ..sources.files import Files, shared_dir
+
 Expr = Column | str
 
 
@@ -23,9 +28,10 @@ def _column(x: Expr) -> Column:
 
 
 class Query:
-    """``update``/``delete`` are called with the DataFrame of exactly the chosen rows."""
+    """``df`` is a DataFrame, or a function that a terminal calls for the rows of its
+    moment.  ``update``/``delete`` are called with a function for exactly the chosen rows."""
 
-    def __init__(self, df: DataFrame, natural: list[Expr], update: Callable[[DataFrame, dict], int] | None = None, delete: Callable[[DataFrame], int] | None = None, order: list[Expr] | None = None) -> None:
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], natural: list[Expr], update: Callable[[Callable[[], DataFrame], dict], int] | None = None, delete: Callable[[Callable[[], DataFrame]], int] | None = None, order: list[Expr] | None = None) -> None:
         self._df, self._natural, self._update, self._delete = df, [_column(c) for c in natural], update, delete
         self._filter: Column | None = None
         self._order: list[Column] | None = [_column(c) for c in order] if order else None
@@ -67,14 +73,17 @@ class Query:
     def _sort(self) -> list[Column]:
         return [*(self._order or []), *self._natural]
 
+    def _chosen(self) -> DataFrame:
+        df = self._df() if callable(self._df) else self._df
+        return df if self._filter is None else df.where(self._filter)
+
     def _rows(self, ordered: bool = False) -> DataFrame:
-        df = self._df if self._filter is None else self._df.where(self._filter)
-        sliced = self._skip is not None or self._limit is not None
-        if sliced or ordered:
-            df = df.orderBy(*self._sort())
+        df = self._chosen()
+        if self._limit is not None:
+            return df.orderBy(*self._sort()).offset(self._skip or 0).limit(self._limit)
         if self._skip:
-            df = df.offset(self._skip)
-        return df if self._limit is None else df.limit(self._limit)
+            df = _without_first(df, self._sort(), self._skip)
+        return df.orderBy(*self._sort()) if ordered else df
 
     # terminals
 
@@ -90,7 +99,9 @@ class Query:
         return self._rows().select(*(_column(e) for e in exprs)).distinct()
 
     def count(self) -> int:
-        return self._rows().count()
+        """How many rows skip and limit leave, for which their order doesn't matter."""
+        n = max(0, self._chosen().count() - (self._skip or 0))
+        return n if self._limit is None else min(n, self._limit)
 
     def exists(self) -> bool:
         return not self._rows().isEmpty()
@@ -134,12 +145,12 @@ class Query:
         """New versions of exactly the chosen rows; returns how many."""
         if self._update is None:
             raise RuntimeError("this query reads only")
-        return self._update(self._rows(), values)
+        return self._update(self._rows, values)
 
     def delete(self) -> int:
         if self._delete is None:
             raise RuntimeError("this query reads only")
-        return self._delete(self._rows())
+        return self._delete(self._rows)
 
 
 class Grouped:
@@ -162,6 +173,34 @@ class Grouped:
         return self._df.groupBy(*self._keys).agg(*out, self._having.alias("__having")).where("__having").drop("__having")
 
 
+def _forget(files: Files, uri: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        files.delete(uri)
+
+
+def _without_first(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """All rows but the first ``n`` of an order, in no order.
+
+    The rows are written in sorted ranges (a read of them twice could cut ranges
+    differently), and a count per range says where the n-th row lies: no task gets
+    more than its range.  The table lives in the shared folder until the driver exits."""
+    spark = df.sparkSession
+    uri = f"{shared_dir(spark)}/palimpsest-page-{uuid.uuid4().hex}"
+    place = F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33)
+    df.orderBy(*order).withColumns({"__range": F.spark_partition_id(), "__place": place}).write.parquet(uri)
+    atexit.register(_forget, Files(spark), uri)
+    rows = spark.read.parquet(uri)
+    at, first = 0, (-1, 0)
+    for r in sorted(rows.groupBy("__range").count().collect()):  # a row per task
+        if at <= n < at + r["count"]:
+            first = r["__range"], n - at
+        at += r["count"]
+    if at <= n:
+        return rows.where(F.lit(False)).drop("__range", "__place")
+    later = F.col("__range") > first[0]
+    return rows.where(later | ((F.col("__range") == first[0]) & (F.col("__place") >= first[1]))).drop("__range", "__place")
+
+
 def _result_type(kind: str, of: DataType) -> DataType | None:
     """Sums and averages keep the argument's kind: int sums are int, float ones float."""
     if kind == "sum" and isinstance(of, (IntegerType, ShortType, FloatType)):

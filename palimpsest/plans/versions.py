@@ -36,6 +36,19 @@ def fresh(log: DataFrame, clean: bool = False) -> DataFrame:
     return newest.where("_v._op <> 'D'").select("_id", "_v.*").select(*log.columns)
 
 
+def current(inserts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Current versions of a log whose inserts and changes are apart.
+
+    An id is inserted once, before all its changes, so an insert is current unless
+    its id was changed, and else the newest change is, unless it is a tombstone.
+    Winners are found on three columns of the changes; inserts are only filtered by
+    ids (a broadcast, if the changes are few), so their scan keeps its filters and columns."""
+    # One number, so that the aggregate hashes: the newest entry's, and whether it is a tombstone.
+    newest = changes.groupBy("_id").agg(F.max(2 * F.col("_seq") + (F.col("_op") == "D").cast("long")).alias("_last"))
+    live = newest.where("_last % 2 = 0").select("_id", F.expr("_last div 2").alias("_seq"))
+    return inserts.join(newest.select("_id"), "_id", "left_anti").unionByName(changes.join(live, ["_id", "_seq"], "left_semi"))
+
+
 def as_of(found: DataFrame, at: Column) -> DataFrame:
     """The versions whose time of validity holds ``at``, from ``versions()`` and archives."""
     return found.where((F.col("_created_at") <= at) & ((F.col("_state") == FRESH) | (F.col("_state_at") > at)))

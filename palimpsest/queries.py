@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from .dataset import Catalog, Dataset
+from .dataset import Catalog, Config, Dataset, Mode
+from .errors import DatasetError
 from .operators import IndexRoot, Query, SetIndexRoot
 from .plans import versions as plan
+from .sources.files import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,7 +66,7 @@ _add("c6_sum_int", "SELECT CAST(coalesce(sum(l_linenumber), 0) AS INTEGER) AS va
 _add("c6_sum_long", "SELECT CAST(sum(l_partkey) AS BIGINT) AS value FROM lineitem", _query("lineitem", lambda q: q.aggregate("sum", "l_partkey")))
 _add("c6_sum_decimal", "SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS value FROM lineitem", _query("lineitem", lambda q: q.aggregate("sum", F.col("l_extendedprice").cast("decimal(15,2)"))))
 _add("c6_sum_double", "SELECT round(sum(l_quantity), 2) AS value FROM lineitem", _query("lineitem", lambda q: q.aggregate("sum", "l_quantity").select(F.round("value", 2).alias("value"))))
-_add("c6_sum_float", "SELECT CAST(sum(CAST(l_linenumber AS DOUBLE)) AS FLOAT) AS value FROM lineitem WHERE l_orderkey < 1000", _query("lineitem", lambda q: q.where("l_orderkey < 1000").aggregate("sum", F.col("l_linenumber").cast("float"))))
+_add("c6_sum_float", "SELECT CAST(sum(CAST(l_linenumber AS DOUBLE)) AS FLOAT) AS value FROM lineitem", _query("lineitem", lambda q: q.aggregate("sum", F.col("l_linenumber").cast("float"))))
 _add("c6_sum_after_page", "SELECT CAST(sum(p_size) AS INTEGER) AS value FROM (SELECT p_size FROM part ORDER BY p_partkey LIMIT 100 OFFSET 100)", _query("part", lambda q: q.skip(100).limit(100).aggregate("sum", "p_size")))
 _add("c6_sum_empty", "SELECT CAST(0 AS INTEGER) AS value", _query("part", lambda q: q.where("p_size < 0").aggregate("sum", "p_size")))
 _add("c7_max", "SELECT max(c_name) AS value FROM customer WHERE c_mktsegment = 'BUILDING'", _query("customer", lambda q: q.where("c_mktsegment = 'BUILDING'").aggregate("max", "c_name")))
@@ -170,16 +172,18 @@ _add("a30_statistics", f"SELECT _state, count(*) AS n, CAST(sum(_length) AS BIGI
 # A, B: datasets that are written, changed and maintained
 
 
-def _dataset(run: Callable[[Dataset, Catalog, str], DataFrame], encrypt: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _dataset(run: Callable[[Dataset, Catalog, str], DataFrame], encrypt: bool = False, setup: Callable[[Config], object] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """``run`` on a dataset with all customers in key order, under the shared folder."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
+        root = shared_dir(spark)
         name = f"customers-{uuid.uuid4().hex}"
         catalog = Catalog(spark)
         config = catalog.configure(name, f"{root.rstrip('/')}/{name}").archive_to(f"{root.rstrip('/')}/{name}-archive").snapshots_to(f"{root.rstrip('/')}/{name}-copies").index("balance", "c_acctbal").index_identity()
         if encrypt:
             config.encrypt_with_password("a password of ours", "CBC")
+        if setup:
+            setup(config)
         config.register()
         with catalog.open(name) as ds:
             ds.insert(table(spark, d, "customer"), encrypt=encrypt, order=["c_custkey"])
@@ -248,3 +252,138 @@ _add("b13_delete", f"SELECT {_COLS} FROM {_NUM} WHERE c_nationkey <> 5", _datase
 _add("c13_query_update", f"SELECT _id, CASE WHEN _id IN (SELECT _id FROM {_NUM} ORDER BY c_acctbal DESC, _id LIMIT 50 OFFSET 10) THEN 'TOP' ELSE c_mktsegment END AS c_mktsegment FROM {_NUM}", _dataset(lambda ds, c, n: (ds.query().order_by(F.desc("c_acctbal")).skip(10).limit(50).update(c_mktsegment="TOP"), ds.rows().select("_id", "c_mktsegment"))[1]))
 _add("c14_query_delete", f"SELECT _id FROM {_NUM} WHERE _id NOT IN (SELECT _id FROM {_NUM} ORDER BY c_acctbal DESC, _id LIMIT 50)", _dataset(lambda ds, c, n: (ds.query().order_by(F.desc("c_acctbal")).limit(50).delete(), ds.rows().select("_id"))[1]))
 _add("d21_index_update_delete", f"SELECT _id, CASE WHEN c_acctbal > 9000 THEN 'RICH' ELSE c_mktsegment END AS c_mktsegment FROM {_NUM} WHERE c_acctbal >= 0", _dataset(lambda ds, c, n: (ds.via_index("balance").greater(9000).update(c_mktsegment="RICH"), ds.via_index("balance").less(0).delete(), ds.rows().select("_id", "c_mktsegment"))[2]))
+
+# Scalar terminals: one row of what a call gave
+
+
+def _row(ds: Dataset, **values: object) -> DataFrame:
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string", type(None): "string"}
+    return ds.spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
+
+
+def _found(ds: Dataset, row: dict | None) -> DataFrame:
+    return _values(ds.rows().where(F.lit(False))) if row is None else ds.spark.createDataFrame([tuple(row[c] for c in _COLS.split(", "))], _values(ds.rows()).schema)
+
+
+def _then(f: Callable[[Dataset], object], of: Callable[[Dataset], DataFrame] = lambda ds: _values(ds.rows())) -> Callable[[Dataset, Catalog, str], DataFrame]:
+    return lambda ds, c, n: (f(ds), of(ds))[1]
+
+
+_add("b1_exists", "SELECT EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0) AS some, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = 99) AS none", _dataset(lambda ds, c, n: _row(ds, some=ds.exists("c_acctbal < 0"), none=ds.exists("c_nationkey = 99"))))
+_add("b2_exists_id", "SELECT true AS here, false AS gone, false AS never", _dataset(lambda ds, c, n: (ds.delete(20), _row(ds, here=ds.exists(10), gone=ds.exists(20), never=ds.exists(10**9)))[1]))
+_add("b3_count", f"SELECT count(*) AS n FROM {_AFTER}", _dataset(lambda ds, c, n: _row(ds, n=_changed(ds).count())))
+_add("b4_count_p", f"SELECT count(*) AS n FROM {_AFTER} WHERE c_acctbal > 5000", _dataset(lambda ds, c, n: _row(ds, n=_changed(ds).count("c_acctbal > 5000"))))
+_add("b5_find", f"SELECT {_COLS} FROM {_NUM} WHERE c_nationkey = 7 ORDER BY _id LIMIT 1", _dataset(lambda ds, c, n: _found(ds, ds.find("c_nationkey = 7"))))
+_add("b6_find_id", f"SELECT {_COLS} FROM {_NUM} WHERE _id = 17", _dataset(lambda ds, c, n: _found(ds, ds.find(17))))
+_add("b8_find_ids_order", "SELECT CAST(a AS BIGINT) AS _id, CAST(b AS BIGINT) AS place FROM (VALUES (30, 0), (10, 1), (20, 2)) AS t(a, b)", _dataset(lambda ds, c, n: ds.spark.createDataFrame([(r["_id"], k) for k, r in enumerate(ds.find_ids(30, 10, 10, 20, 10**9).collect())], "_id long, place long")))
+_add("b11_update_id", f"SELECT {_COLS} FROM (SELECT * REPLACE (CASE WHEN _id = 11 THEN 'ONE' ELSE c_mktsegment END AS c_mktsegment) FROM {_NUM})", _dataset(_then(lambda ds: ds.update(11, c_mktsegment="ONE"))))
+_add("b14_delete_id", f"SELECT {_COLS} FROM {_NUM} WHERE _id <> 11", _dataset(_then(lambda ds: ds.delete(11))))
+_add("a1_memory_dataset", f"SELECT {_COLS} FROM {_NUM}", lambda s, d: _in_memory(s, d))
+_add("a3_a4_registry", "SELECT true AS known, true AS any_case, true AS twice_fails, true AS open_stays, true AS removed", _dataset(lambda ds, c, n: _registry(ds, c, n)))
+_add("a6_lock", "SELECT true AS refused", _dataset(lambda ds, c, n: _row(ds, refused=_fails(lambda: Catalog(ds.spark).configure("other", ds.config.path).register()._catalog.open("other")))))
+_add("a12_flush", "SELECT count(*) + 2 AS n, count(*) + 2 AS written FROM customer", _dataset(lambda ds, c, n: (ds.insert([{"c_name": "x"}, {"c_name": "y"}]), ds.flush(), _row(ds, n=ds.count(), written=ds._log.meta.rows))[2]))
+_add("a16_converters", f"SELECT _id, lower(c_name) AS c_name FROM {_NUM}", _dataset(lambda ds, c, n: ds.rows().select("_id", "c_name"), setup=lambda config: config.convert("c_name", "lower(c_name)")))
+_add("a17_codec", f"SELECT {_COLS} FROM {_NUM}", _dataset(lambda ds, c, n: _values(ds.rows()), encrypt=True, setup=lambda config: config.serialize_with(lambda v: F.to_csv(v).cast("binary"), lambda b, kind: F.from_csv(b.cast("string"), kind.simpleString()[7:-1].replace(":", " ")))))
+_add("a20_gcm_rows", f"SELECT {_COLS} FROM {_NUM}", lambda s, d: _gcm(s, d))
+_add("a20_encrypted_sizes", "SELECT true AS larger, count(*) AS n FROM customer", _dataset(lambda ds, c, n: _sizes(ds), encrypt=True))
+_add("a21_read_only", f"SELECT {_COLS} FROM {_NUM}", _dataset(lambda ds, c, n: _mode(ds, c, Mode.READ_ONLY, lambda x: _values(x.rows()))))
+_add("a22_append_only", "SELECT count(*) + 1 AS n, true AS guarded FROM customer", _dataset(lambda ds, c, n: _mode(ds, c, Mode.APPEND_ONLY, lambda x: (x.insert({"c_name": "new"}), _row(x, n=x.count(), guarded=_fails(x.rows)))[1])))
+_add("a23_purge", "SELECT (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS stale, (SELECT count(*) FROM customer WHERE c_nationkey = 5) AS deleted, CAST(0 AS BIGINT) AS again", _dataset(lambda ds, c, n: _purged(_changed(ds))))
+_add("a30_statistics_flags", f"""
+    WITH v AS (
+      SELECT 'Fresh' AS s, length(c_name) AS z FROM {_AFTER} UNION ALL
+      SELECT CASE WHEN c_nationkey = 5 AND c_mktsegment <> 'BUILDING' THEN 'Deleted' ELSE 'Stale' END, length(c_name) FROM customer WHERE c_nationkey = 5 OR c_mktsegment = 'BUILDING' UNION ALL
+      SELECT 'Deleted', length(c_name) FROM customer WHERE c_nationkey = 5 AND c_mktsegment = 'BUILDING')
+    SELECT what || s || CASE WHEN what = '' THEN 'Count' ELSE 'Size' END AS name, value FROM (
+      SELECT s, '' AS what, CAST(count(*) AS DOUBLE) AS value FROM v GROUP BY s UNION ALL SELECT s, 'Max', max(z) FROM v GROUP BY s UNION ALL SELECT s, 'Min', min(z) FROM v GROUP BY s UNION ALL SELECT s, 'Avg', round(avg(z), 6) FROM v GROUP BY s)
+    UNION ALL SELECT s || 'Size', sum(z) FROM v GROUP BY s UNION ALL SELECT 'LastId', count(*) FROM customer""", _dataset(lambda ds, c, n: _flags(_changed(ds)), setup=lambda config: config.sized_by("length(c_name)")))
+_add("a31_room", "SELECT true AS refused", _dataset(lambda ds, c, n: _row(ds, refused=_without_room(ds))))
+_add("e1_identity", f"SELECT {_COLS} FROM {_NUM} WHERE _id BETWEEN 5 AND 9", _dataset(lambda ds, c, n: _values(ds.find_ids(9, 7, 5, 6, 8))))
+_add("e4_set_index", f"SELECT _id FROM {_NUM} WHERE c_nationkey = 5 OR c_nationkey % 7 = 3", _dataset(lambda ds, c, n: ds.via_set_index("marks").any_in(3, 105).select("_id", ordered=False), setup=lambda config: config.set_index("marks", F.array(F.col("c_nationkey") % 7, F.col("c_nationkey") + 100))))
+_add("e8_indexes", f"SELECT _id FROM {_NUM} WHERE c_acctbal > 5000 AND length(c_name) > 5", _dataset(lambda ds, c, n: ds.via_index("balance").greater(5000).select("_id", ordered=False).intersect(ds.via_index("size").greater(5).select("_id", ordered=False)), setup=lambda config: config.index("size", "length(c_name)")))
+_add("h_ternary_update", f"SELECT _id, CASE WHEN c_nationkey = 3 THEN CASE WHEN c_acctbal < 0 THEN 'LOW' ELSE 'HIGH' END ELSE c_mktsegment END AS c_mktsegment FROM {_NUM}", _dataset(_then(lambda ds: ds.update("c_nationkey = 3", c_mktsegment=F.when(F.col("c_acctbal") < 0, "LOW").otherwise("HIGH")), lambda ds: ds.rows().select("_id", "c_mktsegment"))))
+_add("h_stateful_update", f"SELECT _id, CASE WHEN _id <= 100 THEN CAST(_id - 1 AS DOUBLE) ELSE c_acctbal END AS c_acctbal FROM {_NUM}", _dataset(_then(lambda ds: ds.query().limit(100).update(c_acctbal=fn.ordinal("_seq")), lambda ds: ds.rows().select("_id", "c_acctbal"))))
+_add("i_id_callback", f"SELECT _id, c_custkey FROM (SELECT count(*) + 1 AS _id, count(*) + 1 AS c_custkey FROM customer UNION ALL SELECT count(*) + 2, count(*) + 2 FROM customer)", _dataset(_then(lambda ds: ds.insert([{"c_name": "x"}, {"c_name": "y"}], on_id=lambda i: {"c_custkey": i}), lambda ds: ds.rows().where("c_name IN ('x', 'y')").select("_id", "c_custkey"))))
+_add("n_natural_order_after_update", f"SELECT _id, row_number() OVER (ORDER BY CASE WHEN c_nationkey = 5 THEN 1 ELSE 0 END, _id) - 1 AS place FROM {_NUM} WHERE c_nationkey IN (5, 6)", _dataset(_then(lambda ds: ds.update("c_nationkey = 5", c_mktsegment="LAST"), lambda ds: ds.rows().where("c_nationkey IN (5, 6)").select("_id", fn.ordinal("_seq").cast("long").alias("place")))))
+_add("j_stream_sink", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders", lambda s, d: _streamed(s, d))
+_add("j_changes", f"SELECT _id, 'U' AS _op FROM {_NUM} WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT _id, 'D' FROM {_NUM} WHERE c_nationkey = 5", _dataset(lambda ds, c, n: _since(ds)))
+
+
+def _fails(f: Callable[[], object]) -> bool:
+    try:
+        f()
+    except DatasetError:
+        return True
+    return False
+
+
+def _in_memory(spark: SparkSession, d: str) -> DataFrame:
+    catalog = Catalog(spark)
+    catalog.configure("memory").register()
+    ds = catalog.open("memory")  # its rows go when it is closed
+    ds.insert(table(spark, d, "customer"), order=["c_custkey"])
+    return _values(ds.rows())
+
+
+def _gcm(spark: SparkSession, d: str) -> DataFrame:
+    name = f"sealed-{uuid.uuid4().hex}"
+    catalog = Catalog(spark)
+    catalog.configure(name, f"{shared_dir(spark)}/{name}").encrypt_with_key(b"0123456789abcdef" * 2).register()
+    with catalog.open(name) as ds:
+        ds.insert(table(spark, d, "customer"), encrypt=True, order=["c_custkey"])
+        return _values(ds.rows())
+
+
+def _sizes(ds: Dataset) -> DataFrame:
+    """CBC: a vector of 16 bytes and whole blocks."""
+    log = ds._log.read()
+    fits = (F.octet_length("_payload") == F.col("_length")) & (F.col("_length") % 16 == 0)
+    return log.agg(F.bool_and(fits).alias("larger"), F.count("*").alias("n"))
+
+
+def _registry(ds: Dataset, catalog: Catalog, name: str) -> DataFrame:
+    catalog.configure("spare").register()
+    return _row(ds, known=name in catalog, any_case=name.upper() in catalog, twice_fails=_fails(lambda: catalog.configure(name.upper()).register()), open_stays=_fails(lambda: catalog.remove(name)), removed=catalog.remove("SPARE") and "spare" not in catalog)
+
+
+def _mode(ds: Dataset, catalog: Catalog, mode: Mode, run: Callable[[Dataset], DataFrame]) -> DataFrame:
+    ds.close()
+    other = Catalog(ds.spark)
+    other.configure("again", ds.config.path).set_mode(mode).register()
+    with other.open("again") as again:
+        return run(again)
+
+
+def _purged(ds: Dataset) -> DataFrame:
+    (stale, deleted), again = ds.purge(), ds.purge()
+    return _row(ds, stale=stale, deleted=deleted, again=sum(again))
+
+
+def _flags(ds: Dataset) -> DataFrame:
+    return ds.spark.createDataFrame([(k, round(float(v), 6)) for k, v in ds.statistics().items() if v is not None], "name string, value double")
+
+
+def _without_room(ds: Dataset) -> bool:
+    ds._files.room = lambda uri: 0  # type: ignore[method-assign]
+    return _fails(ds.snapshot)
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming import insert_stream
+
+    name = f"feed-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders")
+    catalog = Catalog(spark)
+    catalog.configure(name, f"{shared_dir(spark)}/{name}", rows.schema).register()
+    with catalog.open(name) as ds:
+        for _ in range(2):  # the second run finds nothing new
+            source = spark.readStream.schema(rows.schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+            insert_stream(ds, source, "orders", f"{shared_dir(spark)}/{name}-checkpoint").awaitTermination()
+        return ds.rows().agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+
+
+def _since(ds: Dataset) -> DataFrame:
+    from .streaming import changes
+
+    _, at = changes(ds)
+    return changes(_changed(ds), at)[0].select("_id", "_op")

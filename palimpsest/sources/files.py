@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from typing import Any
 
 from pyspark.sql import SparkSession
 
+from ..errors import ConfigurationError
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.  Where that is unset, a folder of our own,
+    but only in a session whose executors are this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
 
 class Files:
     def __init__(self, spark: SparkSession) -> None:
@@ -37,8 +52,17 @@ class Files:
         fs, path = self._at(uri)
         return fs.getStatus().getRemaining()
 
+    def read_text(self, uri: str) -> str:
+        fs, path = self._at(uri)
+        stream = fs.open(path)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def create_new(self, uri: str, text: str) -> bool:
-        """False if the file exists already."""
+        """False if the file exists already.  Exclusive where the store's create is
+        (local disks, HDFS); stores that only overwrite, such as s3a, need one writer."""
         fs, path = self._at(uri)
         fs.mkdirs(path.getParent())
         try:
@@ -52,9 +76,4 @@ class Files:
         return True
 
     def read_json(self, uri: str) -> Any:
-        fs, path = self._at(uri)
-        stream = fs.open(path)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(self.read_text(uri))

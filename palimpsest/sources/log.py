@@ -2,9 +2,11 @@
 
 ``<path>/_meta/<n>.json`` states are numbered; the highest is current and names
 the generation and the batches that belong to it.  A batch is first written under
-``<path>/gen-<g>/batch-<k>``, then the next state is created, which fails if
+``<path>/gen-<g>/<kind>-<k>-<attempt>``, then the next state is created, which fails if
 another writer was faster: a batch is in the log whole or not at all, and files of
-failed writes are never read.
+failed writes are never read.  A state that a crash left torn never happened: the
+newest whole one counts, and the next number is free.  Batches are of inserts
+(``i-``) or of changes (``c-``), so that rows that never changed can be told from others.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ class Meta:
     rows: int = 0
     schema: str = ""
     streams: dict[str, int] = field(default_factory=dict)
+    #: Some rows may be encrypted.
+    sealed: bool = False
+    #: Names the log in its archive.
+    uid: str = ""
 
 
 class LogStore:
@@ -44,10 +50,15 @@ class LogStore:
             self.meta.schema = schema.json()
 
     def _load(self) -> tuple[int, Meta]:
-        states = [int(n[:-5]) for n in self._files.children(f"{self.path}/_meta") if n.endswith(".json") and n[:-5].isdigit()]
-        if not states:
-            return -1, Meta()
-        return max(states), Meta(**self._files.read_json(f"{self.path}/_meta/{max(states):012d}.json"))
+        states = sorted((int(n[:-5]) for n in self._files.children(f"{self.path}/_meta") if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+        for n in states:
+            try:
+                return states[0], Meta(**self._files.read_json(f"{self.path}/_meta/{n:012d}.json"))
+            except (ValueError, TypeError):
+                continue  # torn by a crash: it was never committed
+        if states:
+            raise CorruptLog(f"{self.path}: no state is whole")
+        return -1, Meta(uid=uuid.uuid4().hex)
 
     @property
     def value_schema(self) -> StructType:
@@ -71,10 +82,22 @@ class LogStore:
     def directory(self, generation: int | None = None) -> str:
         return f"{self.path}/gen-{self.meta.generation if generation is None else generation}"
 
-    def read(self) -> DataFrame:
-        if not self.meta.batches:
+    def read(self, kind: str = "") -> DataFrame:
+        """All batches, or those of inserts (``i``) or changes (``c``)."""
+        some = [f"{self.directory()}/{b}" for b in self.meta.batches if b.startswith(kind)]
+        if not some:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.directory()}/{b}" for b in self.meta.batches))
+        return self.spark.read.schema(self.schema).parquet(*some)
+
+    def sweep(self) -> None:
+        """Remove what writes that never committed left behind; for the only writer."""
+        live = set(self.meta.batches)
+        for name in self._files.children(self.path):
+            if name.startswith("_stage-") or (name.startswith("gen-") and f"{self.path}/{name}" != self.directory()):
+                self._files.delete(f"{self.path}/{name}")
+        for name in self._files.children(self.directory()):
+            if name not in live:
+                self._files.delete(f"{self.directory()}/{name}")
 
     def check(self) -> None:
         """Fewer rows on disk than committed ones: CorruptLog."""
@@ -108,13 +131,13 @@ class LogStore:
 
     def append(self, df: DataFrame, rows: int, **changes) -> None:
         """Commit ``df`` (in the log's schema) as one batch; ``changes`` go to the metadata."""
-        name = f"batch-{self._state + 1:012d}-{uuid.uuid4().hex[:8]}"
+        name = f"{'c' if changes.get('clean') is False else 'i'}-{self._state + 1:012d}-{uuid.uuid4().hex[:8]}"
         df.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.parquet(f"{self.directory()}/{name}")
         self.commit(replace(self.meta, batches=[*self.meta.batches, name], rows=self.meta.rows + rows, **changes))
 
     def rewrite(self, df: DataFrame, rows: int) -> None:
         """A new generation with ``df`` alone; the old one is deleted after the switch."""
-        old, name = self.meta.generation, f"batch-0-{uuid.uuid4().hex[:8]}"
+        old, name = self.meta.generation, f"i-{0:012d}-{uuid.uuid4().hex[:8]}"
         df.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.parquet(f"{self.directory(old + 1)}/{name}")
         self.commit(replace(self.meta, generation=old + 1, batches=[name], rows=rows, clean=True))
         self._files.delete(self.directory(old))

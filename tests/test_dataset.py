@@ -249,9 +249,12 @@ def test_streams(spark, tmp_path):
             rows = spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in")
             insert_stream(ds, rows, "feed", f"file://{tmp_path}/ck").awaitTermination()
         assert ds.count() == 30
-        q = changes(ds).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
-        q.awaitTermination()
-        assert spark.table("seen").count() == 30
+        seen, at = changes(ds)
+        assert seen.count() == 30 and at == 30
+        ds.delete(7)
+        seen, at = changes(ds, at)
+        assert [(r["_id"], r["_op"]) for r in seen.collect()] == [(7, "D")] and at == 31
+        assert changes(ds, at)[0].count() == 0
 
 
 def test_conversion_and_codec(spark, tmp_path):
@@ -264,3 +267,194 @@ def test_conversion_and_codec(spark, tmp_path):
         ds.insert({"name": "b", "length": 2})
         assert [(r["name"], r["length"]) for r in ds.query().to_df().collect()] == [("A", 1), ("B", 2)]
         assert ds.statistics("MinFreshSize", "MaxFreshSize")["MaxFreshSize"] == 3 + 28
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def failing(log, times=1):
+    """The log's next commits fail after their files were written."""
+    real, left = log.commit, [times]
+
+    def commit(meta):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("the store is away")
+        real(meta)
+
+    log.commit = commit
+
+
+def test_stream_batch_survives_a_failed_write(spark, tmp_path):
+    from palimpsest.streaming import insert_stream
+
+    assets(spark, 5).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    catalog = make(spark, tmp_path)
+    with catalog.open("a") as ds:
+        ds.insert({"name": "buffered"})
+        for bad in (True, False):
+            if bad:
+                ds.flush()
+                failing(ds._log)
+            rows = spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in")
+            q = insert_stream(ds, rows, "feed", f"file://{tmp_path}/ck")
+            if bad:
+                with pytest.raises(Exception):
+                    q.awaitTermination()
+                assert ds.count() == 1 and ds._log.meta.streams == {}
+            else:
+                q.awaitTermination()
+        assert ds.count() == 6 and ds._log.meta.streams == {"feed": 0}
+        ds._insert_batch(assets(spark, 5), "feed", 0)  # the replay of a committed batch
+        assert ds.count() == 6
+
+
+def test_updates_are_atomic(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    catalog = make(spark, tmp_path)
+    with catalog.open("a") as ds:
+        ds.insert([{"name": "x", "length": 0}, {"name": "y", "length": 0}])
+        with ThreadPoolExecutor(6) as pool:
+            assert list(pool.map(lambda _: ds.update(1, length=F.col("length") + 1), range(6))) == [1] * 6
+        assert ds.find(1)["length"] == 6
+        # A query sees the rows of the moment of its terminal: a deleted row doesn't come back.
+        q, later = ds.query().where("_id = 1"), ds.query().where("_id = 2")
+        assert ds.delete(1) and q.update(length=9) == 0 and not ds.exists(1)
+        assert ds.update(2, length=5) == 1 and later.to_df().head()["length"] == 5
+
+
+def test_archive_after_a_crash(spark, tmp_path):
+    catalog = make(spark, tmp_path, archive_to=f"file://{tmp_path}/arch")
+    with catalog.open("a") as ds:
+        ds.insert(assets(spark, 20))
+        at = datetime.now(timezone.utc)
+        time.sleep(0.05)
+        ds.update("true", length=F.lit(1).cast("long"))
+    from palimpsest.sources.log import LogStore
+
+    real = LogStore.rewrite
+    LogStore.rewrite = lambda *a: (_ for _ in ()).throw(OSError("crash"))
+    try:
+        with pytest.raises(OSError):
+            catalog.defrag("a")
+    finally:
+        LogStore.rewrite = real
+    assert catalog.restore("a", at, f"file://{tmp_path}/r0") == 20
+    assert catalog.defrag("a") == (20, 0) and catalog.read_archive("a").count() == 20
+    assert catalog.restore("a", at, f"file://{tmp_path}/r1") == 20
+    with catalog.open("a") as ds:
+        ds.update("_id <= 5", length=F.lit(2).cast("long"))
+    assert catalog.defrag("a") == (5, 0) and catalog.read_archive("a").count() == 25
+
+
+def test_wrong_key_and_hidden_key(spark, tmp_path):
+    for cipher in ("GCM", "CBC"):
+        path = f"file://{tmp_path}/{cipher}"
+        c = Catalog(spark)
+        c.configure("e", path, SCHEMA).encrypt_with_key(b"k" * 32, cipher).register()
+        with c.open("e") as ds:
+            ds.insert(assets(spark, 10))
+            ds.insert(assets(spark, 600), encrypt=True)
+            ds.insert({}, encrypt=True)  # a row of nulls is a row
+            assert ds.count() == ds.query().count() == 611
+            for text in (ds.rows()._jdf.queryExecution().toString(),):
+                assert "k" * 32 not in text and "6b6b6b6b" not in text.lower()
+        for key in (b"w" * 32, None):
+            c = Catalog(spark)
+            config = c.configure("e", path, SCHEMA)
+            if key:
+                config.encrypt_with_key(key, cipher)
+            config.register()
+            with c.open("e") as ds:
+                assert ds.query().count() == ds.count() == 10
+
+
+def test_torn_state_and_orphans(spark, tmp_path):
+    catalog = make(spark, tmp_path)
+    with catalog.open("a") as ds:
+        ds.insert(assets(spark, 10))
+        failing(ds._log)
+        with pytest.raises(OSError):
+            ds.insert(assets(spark, 5))
+    (tmp_path / "a" / "_meta" / f"{9:012d}.json").write_text("")
+    (tmp_path / "a" / "_stage-left").mkdir()
+    with catalog.open("a") as ds:
+        assert ds.count() == 10 and ds.insert(assets(spark, 5)) == (11, 15)
+    assert not (tmp_path / "a" / "_stage-left").exists() and len(list((tmp_path / "a" / "gen-0").iterdir())) == 2
+    with catalog.open("a") as ds:
+        assert ds.count() == ds.query().count() == 15
+
+
+def test_lock_of_a_dead_process(spark, tmp_path):
+    import json
+    import platform
+
+    catalog = make(spark, tmp_path)
+    lock = tmp_path / "a" / "_lock"
+    with catalog.open("a") as ds:
+        ds.insert(assets(spark, 3))
+        other = make(spark, tmp_path)
+        with pytest.raises(DatasetError):
+            other.open("a")
+    lock.write_text(json.dumps({"host": platform.node(), "pid": 2**22 + 7, "began": "1"}))
+    with catalog.open("a") as ds:
+        assert ds.count() == 3
+    lock.write_text(json.dumps({"host": "another", "pid": 1, "began": "1"}))
+    with pytest.raises(DatasetError):
+        catalog.open("a")
+    catalog.unlock("a")
+    catalog.open("a").close()
+    assert not lock.exists()
+
+
+def test_timer_and_halt(spark, tmp_path):
+    catalog = make(spark, tmp_path, flush_interval=1)
+    with catalog.open("a") as ds:
+        ds.insert([{"name": "x"}, {"name": "y"}])
+        assert ds._log.meta.rows == 0
+        until = time.time() + 30
+        while ds._log.meta.rows != 2 and time.time() < until:
+            time.sleep(0.2)
+        assert ds._log.meta.rows == 2
+        seen = []
+        ds.on_halted = seen.append
+        failing(ds._log)
+        ds.insert({"name": "z"})
+        while not seen and time.time() < until:
+            time.sleep(0.2)
+        assert isinstance(seen[0], OSError)
+        with pytest.raises(StoreClosed):
+            ds.count()
+    with catalog.open("a") as ds:
+        assert ds.count() == 2
+
+
+def test_plan_of_a_changed_log(spark, tmp_path):
+    """Rows that never changed are scanned with filters and columns pruned, and not shuffled."""
+    catalog = make(spark, tmp_path)
+    with catalog.open("a") as ds:
+        ds.insert(assets(spark))
+        ds.update("kind = 1 AND _id <= 10", hash=F.lit(1))
+        ds.delete("_id = 1000")
+        df = ds.query().where("length = 64 AND kind = 2").select("name", ordered=False)
+        text = plan_of(df)
+        assert df.count() == 400 and ds.count() == 999
+        scan = next(x for x in text.split("\n") if "FileScan" in x)  # of the inserts
+        assert "EqualTo(length,64)" in scan and "EqualTo(kind," in text and "directory" not in scan and "_payload" not in scan
+        above = text[: text.index("FileScan")]
+        assert "Exchange" not in above and "BroadcastHashJoin" in above and "LeftAnti" in above and "SortAggregate" not in text
+
+
+def test_skip_without_one_task(spark, tmp_path):
+    catalog = make(spark, tmp_path)
+    with catalog.open("a") as ds:
+        ds.insert(assets(spark))
+        df = ds.query().order_by(F.desc("name")).skip(300).to_df()
+        assert "SinglePartition" not in plan_of(df) and "GlobalLimit" not in plan_of(df)
+        names = [r["name"] for r in df.collect()]
+        assert names == sorted((r["name"] for r in ds.rows().collect()), reverse=True)[300:]
+        assert [ds.query().skip(n).sum("length") for n in (0, 1, 999, 1000, 5000)] == [64000, 63936, 64, 0, 0]
+        assert ds.query().skip(990).limit(20).count() == 10 and ds.query().skip(5000).count() == 0
+        assert ds.query().skip(995).delete() == 5 and ds.count() == 995
