@@ -2,9 +2,10 @@
 
 Base rules fail a text by counts.  The others become vectors of transformed
 statistics, and each (language, source) gets a minimum-covariance-determinant
-estimate: from a robust start, repeated concentration steps take the mean and
-covariance of the ``KEEP`` share of rows that lie nearest under the estimate
-before.  A text goes if its Mahalanobis distance exceeds the cutoff.
+estimate: from three fixed starts, concentration steps take the mean and
+covariance of the half of the rows that lie nearest under the estimate before;
+after ``SCREEN`` steps the start of least determinant goes on, until its
+determinant falls no more.  A text goes if its Mahalanobis distance exceeds the cutoff.
 
 Statistics are fixed-point integers, sums of them are exact, and the nearest rows
 are taken by bins of the distance (a 16th of an octave), so a result doesn't depend on
@@ -21,8 +22,8 @@ from .common import drop, written
 #: Fixed point: units of a statistic's natural logarithm.
 UNIT = 200
 NAMES = ["x0", "x1", "x2", "x3", "x4"]
-#: Share of rows that an estimate rests on, concentration steps, rows that a group needs.
-KEEP, STEPS, LEAST_ROWS = 0.75, 3, 200
+#: Steps from every start, further steps at most, passing rows that a group needs.
+SCREEN, STEPS, LEAST_ROWS = 2, 12, 50
 #: Squared distances over this, in units in which their median is that of chi-square, are outliers.
 CUTOFF = 120.0
 _CHI2_MEDIAN_5 = 4.3515
@@ -79,13 +80,13 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 1e-6) * _BINS).cast("int")
 
 
-def _quantile(rows: DataFrame, d2: Column, share: float, name: str) -> DataFrame:
-    """The least bin of d2 that has ``share`` of a group's rows at or below it."""
-    counts = rows.select("grp", _bin(d2).alias("bin")).groupBy("grp", "bin").agg(F.count("*").alias("c"))
-    # Some hundred rows a group.
-    up = Window.partitionBy("grp").orderBy("bin")
-    sums = counts.withColumn("up", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy("grp")))
-    return sums.where(F.col("up") >= F.col("n") * share).groupBy("grp").agg(F.min("bin").alias(name))
+def _quantile(rows: DataFrame, d2: Column, rank: Column, name: str) -> DataFrame:
+    """The least bin of d2 that has ``rank`` (of n) of an estimate's rows at or below it."""
+    counts = rows.select("grp", "start", _bin(d2).alias("bin")).groupBy("grp", "start", "bin").agg(F.count("*").alias("c"))
+    # Some hundred rows an estimate.
+    own = Window.partitionBy("grp", "start")
+    sums = counts.withColumn("up", F.sum("c").over(own.orderBy("bin"))).withColumn("n", F.sum("c").over(own))
+    return sums.where(F.col("up") >= rank).groupBy("grp", "start").agg(F.min("bin").alias(name))
 
 
 def distance(p: str = "") -> Column:
@@ -99,33 +100,71 @@ def _factors(sums: DataFrame) -> DataFrame:
     """Mean, and the inverse Cholesky factor of the covariance, from exact sums."""
     d = len(NAMES)
     n = F.col("n").cast("double")
-    out = sums.select("grp", *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(d)), *((F.col(f"q{i}_{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n) + (FLOOR**2 if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)))
+    out = sums.select("grp", "start", *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(d)), *((F.col(f"q{i}_{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n) + (FLOOR**2 if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)))
     for j in range(d):  # a column of the factor at a time
         rest = lambda i, j: F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
         out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(1.0))))
         out = out.withColumns({f"l{i}_{j}": rest(i, j) / F.col(f"l{j}_{j}") for i in range(j + 1, d)}) if j + 1 < d else out
     for i in range(d):  # a row of the inverse at a time
         out = out.withColumns({f"v{i}_{j}": (F.lit(1.0) if i == j else -sum((F.col(f"l{i}_{k}") * F.col(f"v{k}_{j}") for k in range(j, i)), F.lit(0.0))) / F.col(f"l{i}_{i}") for j in range(i + 1)})
-    return out.select("grp", *(f"m{i}" for i in range(d)), *(f"v{i}_{j}" for i in range(d) for j in range(i + 1)))
+    return out.select("grp", "start", *(f"m{i}" for i in range(d)), *(f"v{i}_{j}" for i in range(d) for j in range(i + 1)))
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    d = len(NAMES)
+    return rows.groupBy("grp", "start").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)))
+
+
+def _starts(good: DataFrame) -> DataFrame:
+    """Medians with each statistic's quartile range, medians with one spread for all,
+    and the mean and covariance of all rows."""
+    d = len(NAMES)
+    part = written(good.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, x in enumerate(NAMES))))
+    ranges = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOOR)) for i in range(d)]
+
+    def plain(start: int, spread: list[Column]) -> DataFrame:
+        inverse = (F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1))
+        names = (f"v{i}_{j}" for i in range(d) for j in range(i + 1))
+        return part.select("grp", F.lit(start).alias("start"), *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(d)), *(v.alias(n) for v, n in zip(inverse, names)))
+
+    every = _factors(written(_sums(good.withColumn("start", F.lit(2)))))
+    return plain(0, ranges).unionByName(plain(1, [F.lit(FLOOR)] * d)).unionByName(every)
+
+
+def _step(good: DataFrame, now: DataFrame) -> DataFrame:
+    """Estimates from the half of the rows (n + d + 1 of 2 n) that lie nearest under those of ``now``."""
+    apart = good.join(now, "grp")
+    # A row an estimate; written, so that Spark knows its size and rows of large groups stay where they are.
+    half = F.least(F.col("n"), F.floor((F.col("n") + len(NAMES) + 1) / 2))
+    edge = written(_quantile(apart, distance(), half, "edge"))
+    sums = written(_sums(apart.join(edge, ["grp", "start"]).where(_bin(distance()) <= F.col("edge"))))
+    return written(_factors(sums))
+
+
+def _least(found: DataFrame, first: str) -> DataFrame:
+    """The estimate of least determinant of each group, of equal ones that of least ``first``."""
+    determinant = sum((-2 * F.log(F.col(f"v{i}_{i}")) for i in range(len(NAMES))), F.lit(0.0))
+    whole = F.min_by(F.struct(*(c for c in found.columns if c != "grp")), F.struct(determinant, F.col(first)))
+    return written(found.groupBy("grp").agg(whole.alias("k")).select("grp", "k.*"))
 
 
 def estimates(good: DataFrame) -> DataFrame:
     """The estimate of each ``grp``: mean, inverse factor, and the scale of squared distances."""
-    spark, d = good.sparkSession, len(NAMES)
-    start = good.groupBy("grp").agg(*(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, x in enumerate(NAMES)))
-    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOOR)) for i in range(d)]
-    now = written(start.select("grp", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(d)), *((F.lit(1.0) / spread[i] if i == j else F.lit(0.0)).alias(f"v{i}_{j}") for i in range(d) for j in range(i + 1))))
+    spark = good.sparkSession
+    now = written(_starts(good))
+    for _ in range(SCREEN):
+        now = _step(good, now)
+    now = _least(now, "start")
     for _ in range(STEPS):
-        apart = good.join(now, "grp")
-        # A row a group; written, so that Spark knows its size and rows of large groups stay where they are.
-        edge = written(_quantile(apart, distance(), KEEP, "edge"))
-        near = apart.join(edge, "grp").where(_bin(distance()) <= F.col("edge"))
-        sums = near.groupBy("grp").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)))
-        new = written(_factors(written(sums)))
+        both = now.withColumn("turn", F.lit(0)).unionByName(_step(good, now).withColumn("turn", F.lit(1)))
+        new = _least(both, "turn")
+        settled = new.where("turn = 1").isEmpty()
         drop(spark, now)
-        now = new
-    middle = _quantile(good.join(now, "grp"), distance(), 0.5, "mid")
-    return now.join(middle, "grp").withColumn("scale", F.pow(F.lit(2.0), (F.col("mid") + 1) / _BINS) / _CHI2_MEDIAN_5)
+        now = new.drop("turn")
+        if settled:
+            break
+    middle = _quantile(good.join(now, "grp"), distance(), F.col("n") * 0.5, "mid").drop("start")
+    return now.drop("start").join(middle, "grp").withColumn("scale", F.pow(F.lit(2.0), (F.col("mid") + 1) / _BINS) / _CHI2_MEDIAN_5)
 
 
 def verdicts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:

@@ -218,11 +218,26 @@ def verdict(rows):
         x = np.array([o[7] for o in good if name(o) == g])
         if len(x):
             q = np.percentile(x, [25, 50, 75], axis=0)
-            m, inv = q[1], np.diag(1 / np.maximum((q[2] - q[0]) / 1.349, rules.FLOOR))
+            half = min(len(x), (len(x) + d + 1) // 2)
+
+            def estimate(near):
+                return near.mean(0), np.linalg.inv(np.linalg.cholesky(np.cov(near, rowvar=False, bias=True) + rules.FLOOR**2 * np.eye(d)))
+
+            def step(m, inv):
+                b = bins((((x - m) @ inv.T) ** 2).sum(1))  # noqa: B023
+                return estimate(x[b <= np.sort(b)[half - 1]])  # noqa: B023
+
+            size = lambda e: -2 * np.log(np.diag(e[1])).sum()
+            starts = [(q[1], np.diag(1 / np.maximum((q[2] - q[0]) / 1.349, rules.FLOOR))), (q[1], np.eye(d) / rules.FLOOR), estimate(x)]
+            for _ in range(rules.SCREEN):
+                starts = [step(*e) for e in starts]
+            now = min(starts, key=size)
             for _ in range(rules.STEPS):
-                b = bins((((x - m) @ inv.T) ** 2).sum(1))
-                near = x[b <= np.sort(b)[int(np.ceil(rules.KEEP * len(b))) - 1]]
-                m, inv = near.mean(0), np.linalg.inv(np.linalg.cholesky(np.cov(near, rowvar=False, bias=True) + rules.FLOOR**2 * np.eye(d)))
+                new = step(*now)
+                if size(new) > size(now) - 1e-12:
+                    break
+                now = new
+            m, inv = now
             b = bins((((x - m) @ inv.T) ** 2).sum(1))
             scale = max(1.0, 2 ** ((np.sort(b)[int(np.ceil(0.5 * len(b))) - 1] + 1) / rules._BINS) / rules._CHI2_MEDIAN_5)
         for o in out:
@@ -248,6 +263,19 @@ def test_quality_rules(spark):
     assert rules.verdicts(frame(spark, empty=True)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.25, 0.4])
+def test_estimate_survives_junk(spark, share):
+    """Junk of up to two fifths of one source goes, and nothing else."""
+    rng = np.random.default_rng(5)
+    clean = rng.normal([330, 0, 20, 150, 180], [15, 8, 15, 40, 30], (600, 5))
+    junk = rng.normal([340, 700, 500, 600, 200], [30, 40, 60, 40, 40], (int(600 * share / (1 - share)), 5))
+    rows = [("g", *(int(v) for v in x)) for x in np.concatenate([clean, junk])]
+    good = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{n} long" for n in rules.NAMES))
+    far = good.join(rules.estimates(good), "grp").select("x1", (rules.distance() / F.greatest("scale", F.lit(1.0))).alias("far")).collect()
+    assert {r["x1"] > 300 for r in far if r["far"] > rules.CUTOFF} == {True}
+    assert sum(r["far"] > rules.CUTOFF for r in far) == len(junk)
+
+
 def hits(rows, bench):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall(lower(t or ""))
