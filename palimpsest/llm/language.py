@@ -21,6 +21,8 @@ from .common import in_fold, map_rows, tune
 #: Training rows of one language, and of all, at most (lowest hashes of the id first).
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 3200
 BITS = 12
+#: Bits of an id's hash that choose its slice.
+SLICE_BITS = 12
 UNKNOWN = "und"
 
 
@@ -120,13 +122,31 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Tree:
     return tree
 
 
+def sample_ids(tagged: DataFrame, per_language: int, rows: int) -> DataFrame:
+    """At most ``rows`` ids of ``tagged`` (id, lang): of each language those of least
+    hash, ``per_language`` at most.
+
+    Ids are first counted by slices of the hash, so that only those of the least
+    slices that hold enough are ranked, however many a language has."""
+    sliced = tagged.withColumn("h", F.xxhash64("id")).withColumn("part", F.shiftright("h", 64 - SLICE_BITS))
+    # Distinct ids, not rows, as one id may hold many rows; the estimate's error (5 %) is far inside the quarter more.
+    counts = sliced.groupBy("lang", "part").agg(F.approx_count_distinct("id").alias("c"))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # some thousand rows
+    few = counts.withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0))).where(F.col("below") < 1.25 * per_language)
+    edge = few.groupBy("lang").agg(F.max("part").alias("edge"))
+    near = sliced.join(edge, "lang").where("part <= edge").select("lang", "h", "id").distinct()
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_language)
+    return ranked.orderBy("k", "lang", "id").limit(rows).select("id", "lang")
+
+
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> Tree | None:
-    """``docs`` has doc_id, text and lang; the held-out fold is left out."""
-    tagged = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2)).select(F.col("doc_id").alias("id"), F.col("lang").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    ranked = tagged.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_language)
-    ids = ranked.orderBy("k", "lang").limit(rows).select("id").distinct()  # at most `rows` numbers
-    sample = docs.where(F.col("lang").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    found = map_rows(sample.select("doc_id", "text", "lang"), ["doc_id", "text", "lang"], "id long, lang string, x binary", lambda r: (r[0], r[2], grams(r[1]).astype(np.float16).tobytes()) if has_letter(r[1]) else None)
+    """``docs`` has doc_id, text and lang; the held-out fold is left out.  Of rows that
+    repeat an id and language, the text of least hash is learnt from."""
+    tagged = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2)).select(F.col("doc_id").alias("id"), "lang")
+    ids = sample_ids(tagged, per_language, rows)  # at most `rows` pairs
+    sample = docs.select(F.col("doc_id").alias("id"), "text", "lang").join(F.broadcast(ids), ["id", "lang"])
+    sample = sample.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
+    found = map_rows(sample, ["id", "text", "lang"], "id long, lang string, x binary", lambda r: (r[0], r[2], grams(r[1]).astype(np.float16).tobytes()) if has_letter(r[1]) else None)
     # At most `rows` ids, half precision: 8 KB each.
     got = sorted((r["id"], r["lang"], bytes(r["x"])) for r in found.collect())
     if not got:

@@ -107,6 +107,17 @@ def test_posterior_labels_are_no_copies(spark):
     assert (toxicity.ballots(model, shuffled) == votes).all()
 
 
+def test_language_sample(spark):
+    """The least hashes of each language, counted by ids however often an id recurs."""
+    rows = [(k, "ab"[k % 7 == 0]) for k in range(20_000)] + [(3, "a")] * 30_000
+    tagged = spark.createDataFrame(rows, "id long, lang string")
+    hashes = {r["id"]: r["h"] for r in tagged.distinct().select("id", F.xxhash64("id").alias("h")).collect()}
+    want = {(k, g) for g in "ab" for k in sorted({i for i, x in rows if x == g}, key=hashes.get)[:50]}
+    got = [tuple(r) for r in language.sample_ids(tagged, 50, 200).collect()]
+    assert len(got) == 100 and set(got) == want
+    assert language.sample_ids(tagged, 50, 60).count() == 60
+
+
 def test_language(spark):
     docs = table(spark, SF, "documents")
     x = held_out(language.identify(docs), docs.select("doc_id", "lang"), 4, 2)
