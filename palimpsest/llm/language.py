@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_fold, map_rows, tune
+from .common import in_fold, map_rows, tune, written
 
 #: Training rows of one language, and of all, at most (lowest hashes of the id first).
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 800, 3200
@@ -133,7 +133,8 @@ def sample_ids(tagged: DataFrame, per_language: int, rows: int) -> DataFrame:
     counts = sliced.groupBy("lang", "part").agg(F.approx_count_distinct("id").alias("c"))
     before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # some thousand rows
     few = counts.withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0))).where(F.col("below") < 1.25 * per_language)
-    edge = few.groupBy("lang").agg(F.max("part").alias("edge"))
+    # A row a language; written, so that Spark knows its size and rows are left out before any shuffle.
+    edge = written(few.groupBy("lang").agg(F.max("part").alias("edge")))
     near = sliced.join(edge, "lang").where("part <= edge").select("lang", "h", "id").distinct()
     ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("k") <= per_language)
     return ranked.orderBy("k", "lang", "id").limit(rows).select("id", "lang")
