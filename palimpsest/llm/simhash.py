@@ -33,6 +33,10 @@ BITS = 64
 BUCKET = 512
 #: Times that an overfull bucket is cut by its open bits: 64 bits leave at most 2**13 values then.
 LEVELS = 4
+#: What filing a fingerprint under one value costs, in comparisons.
+PROBE = 40
+#: Fingerprints with more neighbours than these are paired with one of them.
+FEW = 8
 _SLICE = 1 << 16
 
 
@@ -45,8 +49,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
         shingles: list[bytes] = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[k:] for k in range(width)))))
-    n = len(shingles)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.dtype("<u8"), n)
+    return of_hashes(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.dtype("<u8"), len(shingles)))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of some features by their 64-bit hashes."""
+    n = len(hashes)
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, n, _SLICE):
         part = hashes[k : k + _SLICE]
@@ -127,7 +135,7 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[list[int], float]:
     return best[need][1], best[need][0]
 
 
-def _plan(fps: DataFrame, n: int, radius: int) -> tuple[list[int], list[tuple[list[int], int]]]:
+def _plan(fps: DataFrame, n: int, radius: int, probe: float = PROBE) -> tuple[list[int], list[tuple[list[int], int]]]:
     """The order of the bits, and the partitions to use with their thresholds."""
     joint = _joint_counts(fps)
     order = bit_order(joint, n)
@@ -151,7 +159,7 @@ def _plan(fps: DataFrame, n: int, radius: int) -> tuple[list[int], list[tuple[li
             probes = 0.0
             for t in range(radius + 1):
                 probes += comb(len(bits), t)
-                near.append(max(pairs.get(i, 0.0), 1.0) * poly[: t + 1].sum() + 40 * n * (probes + (t > 0)))
+                near.append(max(pairs.get(i, 0.0), 1.0) * poly[: t + 1].sum() + probe * max(n, 1) * (probes + (t > 0)))
             costs.append([0.0, *near])
             i += 1
         thresholds, cost = allocate(costs, radius)
@@ -195,11 +203,43 @@ def _verify(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: links that join all distinct ``fp`` within ``radius`` bits, directly or by others."""
+def neighbours(radius: int, few: int = FEW):
+    """Pairs inside a bucket, for an exact check to follow: each member with all
+    members within ``radius`` bits; where they are more than ``few``, with the one
+    of them that has most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a: list[np.ndarray] = []
+            b: list[np.ndarray] = []
+            for members in batch.column("members"):
+                x = np.unique(np.asarray(members.values.to_numpy(zero_copy_only=False), dtype=np.int64))
+                u = x.view(np.uint64)
+                step = max(1, _SLICE // len(u))
+                degree = np.concatenate([(np.bitwise_count(u[k : k + step, None] ^ u) <= radius).sum(axis=1) for k in range(0, len(u), step)]) - 1
+                some = np.flatnonzero(degree)
+                for k in range(0, len(some), step):
+                    at = some[k : k + step]
+                    near = np.bitwise_count(u[at, None] ^ u) <= radius
+                    near[np.arange(len(at)), at] = False
+                    many = degree[at] > few
+                    one = np.where(near[many], degree, -1).argmax(axis=1)
+                    i, j = np.nonzero(near[~many])
+                    a += [x[at[many]], x[at[~many][i]]]
+                    b += [x[one], x[j]]
+            sides = [np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*sides)), pa.array(np.minimum(*sides))], names=["a", "b"])
+
+    return run
+
+
+def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET, verify=_verify, probe: float = PROBE, levels: int = LEVELS) -> DataFrame:
+    """``a, b``: links that join all distinct ``fp`` within ``radius`` bits, directly or by
+    others; with ``verify=neighbours``, pairs within ``radius`` bits.  A bucket that was cut
+    ``levels`` times is compared in one place, whatever its size."""
     spark = fps.sparkSession
     n = fps.count()
-    order, chosen = _plan(fps, n, radius)
+    order, chosen = _plan(fps, n, radius, probe)
     rows = None
     for i, (bits, t) in enumerate(chosen):
         one = fps.select(F.lit(i).alias("part"), F.explode(_values_within(bits, t)).alias("key"), F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("rest"), "fp")
@@ -208,13 +248,13 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     masks = {(i, 0) for i, _ in enumerate(chosen)}
     name = ["part", "key", "mask", "rest"]
     found = []
-    for level in range(LEVELS + 1):
+    for level in range(levels + 1):
         # Written, so that a bucket of very many members is a side that the join can split.
         sizes = written(rows.groupBy(*name).count().where("count > 1"))
-        last = level == LEVELS
+        last = level == levels
         sized = rows.join(sizes, name)
         cold = sized if last else sized.where(F.col("count") <= bucket)
-        found.append(cold.groupBy(*name).agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_verify(radius), "a long, b long"))
+        found.append(cold.groupBy(*name).agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(verify(radius), "a long, b long"))
         if last:
             break
         hot = written(sized.where(F.col("count") > bucket).select(*name, "fp"))

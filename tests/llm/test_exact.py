@@ -102,6 +102,56 @@ def test_near_copies(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, frame(spark, empty=True), "").count() == 0
 
 
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 6])
+def test_near_copies_by_fingerprint(spark, bucket):
+    """All pairs within the radius, but for fingerprints with many neighbours, against brute force."""
+    import random
+
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, many = documents(), words(300)
+    for k in range(12):
+        base = words(80 + 10 * k)
+        for j in range(3):
+            rows.append((100 + 3 * k + j, " ".join(base[: len(base) - j * k] + words(j * k)), "en", "a"))
+    for k in range(30):
+        own = list(many)
+        for _ in range(r.choice((0, 1, 4, 7))):
+            own[r.randrange(300)] = f"x{r.randrange(10**6)}"
+        rows.append((200 + k, " ".join(own), "en", "a"))
+    prints = near_copies._sketches(frame(spark, rows), "text", "doc_id").where("n > 0").select("sid", "n", "fp").distinct()
+    want = {}
+    for _, text, *_ in rows:
+        w = WORD.findall(lower(text or ""))
+        found = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), seed=42) for i in range(max(1, len(w) - 4))} if w else set()
+        if found:
+            want[xxhash.xxh64_intdigest(np.array(sorted(found), "<u8").tobytes())] = len(found), sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+    assert {simhash.signed(k): (n, simhash.signed(f)) for k, (n, f) in want.items()} == {x["sid"]: (x["n"], x["fp"]) for x in prints.collect()}
+    least = {}
+    for k, (n, f) in want.items():
+        least[f] = min(least.get(f, (1 << 63, 0)), (simhash.signed(k), n))
+    near = {f: [g for g in least if g != f and (f ^ g).bit_count() <= near_copies.RADIUS] for f in least}
+    fits = lambda a, b: 10 * min(a, b) >= 8 * max(a, b)
+    pair = lambda f, g: (max(least[f][0], least[g][0]), min(least[f][0], least[g][0]))
+    equal = {(simhash.signed(k), least[f][0]) for k, (n, f) in want.items() if simhash.signed(k) != least[f][0] and fits(n, least[f][1])}
+    could = {pair(f, g) for f in near for g in near[f] if fits(least[f][1], least[g][1])}
+    must = {pair(f, g) for f in near for g in near[f] if fits(least[f][1], least[g][1]) and len(near[f]) <= simhash.FEW}
+    got = {tuple(x) for x in near_copies.by_fingerprint(prints, bucket=bucket).collect()}
+    assert equal | must <= got <= equal | could and len(must) > 20 and len(got) < len(could)
+    assert all(any(pair(f, g) in got for g in near[f]) for f in near if len(near[f]) > simhash.FEW)
+
+
+def test_stage_goes_through_fingerprints(spark, monkeypatch):
+    """The pipeline's stage has its first links from the operator of op1, checked by whole sets."""
+    import corpus_pipeline
+
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, radius, *rest: asked.append((fps.count(), radius)) or links(fps, radius, *rest))
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark), "").collect()
+    assert len(asked) == 1 and asked[0][0] > 30 and asked[0][1] == near_copies.RADIUS >= 10
+    assert sorted(x["doc_id"] for x in kept) == similar(documents())[0]
+
+
 @pytest.mark.parametrize("bucket", [512, 3])
 def test_links_are_complete(spark, bucket):
     import random
