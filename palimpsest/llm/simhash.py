@@ -140,7 +140,8 @@ def _plan(fps: DataFrame, n: int, radius: int, probe: float = PROBE) -> tuple[li
     joint = _joint_counts(fps)
     order = bit_order(joint, n)
     mean = np.diag(joint) / max(n, 1)
-    layouts = [split_bits(order, m) for m in range(2, radius + 2)]
+    # Fewer parts would need thresholds over 2, with very many probes, and have as many values as there are fingerprints.
+    layouts = [split_bits(order, m) for m in range(max(2, (radius + 3) // 3), radius + 2)]
     parts = [p for layout in layouts for p in layout]
     values = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(mask_of(p)))).alias("v")) for i, p in enumerate(parts)))).alias("x")).select("x.i", "x.v")
     counts = values.groupBy("i", "v").count().groupBy("i").agg(F.sum(F.expr("count * (count - 1) / 2")).alias("pairs"))
